@@ -138,6 +138,12 @@ def judge(docs: DataFrame, text: str = "text", table: tuple[Threshold, ...] = TH
     return out.select(*rest, *[c for c in made if c not in rest])
 
 
+def passing(docs: DataFrame, text: str = "text", table: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
+    """The rows of docs that the rules keep, with their own columns, also where a name is that of a measure."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    return judge(own, "_text", table).where("kept").select("_row.*")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *ratios())

@@ -6,7 +6,11 @@ import importlib
 
 #: query name -> module that defines it; a module's ORACLE_SQL, where it has one, is the query's SQL.
 QUERIES = {
+    "op4_best_fit_packing": "packing",
+    "op5_mixing": "mixing",
     "op6_quality_rules": "quality_rules",
+    "op7_substring_dedup": "substring_dedup",
+    "op10_simhash_near_dedup": "simhash_anchors",
 }
 
 
