@@ -6,10 +6,14 @@ import importlib
 
 #: query name -> module that defines it; a module's ORACLE_SQL, where it has one, is the query's SQL.
 QUERIES = {
+    "op1_nn_descent": "nn_descent",
+    "op3_warc_index_merge": "warc",
     "op4_best_fit_packing": "packing",
     "op5_mixing": "mixing",
     "op6_quality_rules": "quality_rules",
     "op7_substring_dedup": "substring_dedup",
+    "op8_min_cost_resharding": "resharding",
+    "op9_quality_classifier": "compression_classifier",
     "op10_simhash_near_dedup": "simhash_anchors",
 }
 
