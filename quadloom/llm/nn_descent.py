@@ -142,7 +142,8 @@ def _grow(graph: DataFrame, lists: DataFrame) -> DataFrame:
 def _descend(base: DataFrame, graph: DataFrame, lists: DataFrame, dim: int, threshold: float, explore: float) -> tuple[DataFrame, DataFrame]:
     """Rounds of neighbours of neighbours until no list changes."""
     graph = save(_grow(graph.union(graph.select("b", "a", "s")), lists), "graph")
-    seen = None
+    same = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
+    seen = tuple(graph.agg(*same).first())
     for _ in range(ROUNDS):
         full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least")).join(lists, "a", "left")
         k = F.coalesce("k", F.lit(NEIGHBOURS))
@@ -151,7 +152,7 @@ def _descend(base: DataFrame, graph: DataFrame, lists: DataFrame, dim: int, thre
         meet = graph.join(lists, "a").join(base.select(F.col("cid").alias("b"), "v"), "b").select("a", "k", "b", "v")
         found = meet.repartition("a").sortWithinPartitions("a").mapInArrow(_join_locally(dim, explore), "a long, b long, s double")
         graph = save(_grow(graph.union(graph.select("b", "a", "s")).union(found), lists), "graph")
-        now = tuple(graph.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now = tuple(graph.agg(*same).first())
         if now == seen:
             break
         seen = now

@@ -7,6 +7,7 @@ import importlib
 #: query name -> module that defines it; a module's ORACLE_SQL, where it has one, is the query's SQL.
 QUERIES = {
     "op1_nn_descent": "nn_descent",
+    "op2_suffix_dedup": "suffix_dedup",
     "op3_warc_index_merge": "warc",
     "op4_best_fit_packing": "packing",
     "op5_mixing": "mixing",
