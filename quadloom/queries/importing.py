@@ -1 +1,69 @@
-"""Queries."""
+"""OSM assembly and file sources."""
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from quadloom import fixtures as fx
+from quadloom.fixtures import sql
+from quadloom.functions.mercator import fixed_to_latlng
+from quadloom.operators import shapes, tables
+from quadloom.queries import query
+from quadloom.sources import osm_pbf, shapefile
+
+c = F.col
+
+
+@query("way_nodes", sql("SELECT w.way_id, w.pos, w.ref, n.x, n.y FROM fx_way_nodes w LEFT JOIN fx_nodes n ON abs(w.ref) = abs(n.node_id)", "fx_way_nodes", "fx_nodes"))
+def run_way_nodes(spark, sf):
+    return tables.locate_way_nodes(fx.way_nodes(spark, sf), fx.nodes(spark, sf))
+
+
+@query("way_geometry", sql("SELECT way_id, CAST(count(*) AS INTEGER) AS n_points, min(n.x) AS min_x, max(n.y) AS max_y FROM fx_way_nodes w JOIN fx_nodes n ON abs(w.ref) = abs(n.node_id) GROUP BY way_id HAVING count(*) >= 2", "fx_way_nodes", "fx_nodes"))
+def run_way_geometry(spark, sf):
+    lines = tables.way_lines(tables.locate_way_nodes(fx.way_nodes(spark, sf), fx.nodes(spark, sf)))
+    return lines.select("way_id", F.size("points").alias("n_points"), F.array_min(F.transform("points", lambda p: p["x"])).alias("min_x"), F.array_max(F.transform("points", lambda p: p["y"])).alias("max_y"))
+
+
+@query("multipolygon")
+def run_multipolygon(spark, sf):
+    """Each rectangle as a relation of two open ways, and a hole in every third."""
+    r = fx.rects(spark, sf)
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x0, y0, x1, y1 = (c(k) for k in ("min_x", "min_y", "max_x", "max_y"))
+    i, j, k, m = x0 + F.expr("w div 4"), y0 + F.expr("h div 4"), x0 + F.expr("w div 2"), y0 + F.expr("h div 2")
+    ways = F.array(
+        F.struct((c("id") * 3).alias("way_id"), F.lit("outer").alias("role"), F.array(p(x0, y0), p(x1, y0), p(x1, y1)).alias("points")),
+        F.struct((c("id") * 3 + 1).alias("way_id"), F.lit("outer").alias("role"), F.array(p(x0, y0), p(x0, y1), p(x1, y1)).alias("points")),
+        F.struct((c("id") * 3 + 2).alias("way_id"), F.lit("inner").alias("role"), F.when(c("id") % 3 == 0, F.array(p(i, j), p(k, j), p(k, m), p(i, m), p(i, j))).alias("points")),
+    )
+    rows = r.select(c("id").alias("relation_id"), F.explode(ways).alias("w")).select("relation_id", "w.*").where("points is not null")
+    out = shapes.multipolygons(rows.select("relation_id", "way_id", "role"), rows.select("way_id", "points"))
+    return out.select("relation_id", "n_parts", F.size(c("parts")[0]).alias("n_rings"))
+
+
+def _folder() -> str:
+    return tempfile.mkdtemp(prefix="quadloom-extract-")
+
+
+@query("scan_osm")
+def run_scan_osm(spark, sf):
+    """A small extract of the derived nodes and ways, written as a PBF file and scanned."""
+    n = fx.nodes(spark, sf).orderBy("node_id").limit(5000).withColumn("p", fixed_to_latlng(c("x"), c("y"))).select("node_id", "p.lat", "p.lng").collect()
+    rows = [("node", r["node_id"], r["lat"], r["lng"], {"place": "city"} if r["node_id"] % 5 == 0 else {}, None, None) for r in n]
+    rows += [("way", 10_000_000 + k, None, None, {"highway": "trunk"}, [r["node_id"] for r in n[k : k + 4]], None) for k in range(0, len(n) - 4, 4)]
+    path = f"{_folder()}/extract.osm.pbf"
+    osm_pbf.write(path, rows)
+    spark.dataSource.register(osm_pbf.OsmPbfSource)
+    scan = spark.read.format("osm_pbf").option("path", path).load()
+    return scan.select("kind", "id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.size("tags").alias("n_tags"), F.size("refs").alias("n_refs"))
+
+
+@query("scan_shp")
+def run_scan_shp(spark, sf):
+    """A small extract of the derived rectangles, written as a zipped shapefile and scanned."""
+    r = fx.rects(spark, sf).orderBy("id").limit(1000)
+    r = r.withColumn("a", fixed_to_latlng(c("min_x"), c("min_y"))).withColumn("b", fixed_to_latlng(c("max_x"), c("max_y"))).select("a.*", c("b.lat").alias("lat2"), c("b.lng").alias("lng2")).collect()
+    path = f"{_folder()}/land.zip"
+    shapefile.write(path, [[[(x["lng"], x["lat"]), (x["lng"], x["lat2"]), (x["lng2"], x["lat2"]), (x["lng2"], x["lat"]), (x["lng"], x["lat"])]] for x in r])
+    return shapefile.read(spark, path).select("shape", F.size("rings").alias("n_rings"), F.size(c("rings")[0]).alias("n_points"))
