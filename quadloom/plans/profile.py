@@ -79,11 +79,11 @@ class Profile:
     area: tuple[Rule, ...] = field(default=())
 
 
-def _by_rule(rules: tuple[Rule, ...], value: Callable[[Rule], Column], otherwise: Column) -> Column:
+def _by_rule(rules: tuple[Rule, ...], number: Column, value: Callable[[Rule], Column], otherwise: Column) -> Column:
     """The value that the row's rule has."""
     out = otherwise
     for i, rule in reversed(list(enumerate(rules))):
-        out = F.when(F.col("_rule") == i, value(rule)).otherwise(out)
+        out = F.when(number == i, value(rule)).otherwise(out)
     return out
 
 
@@ -91,27 +91,33 @@ def classify(features: DataFrame, rules: tuple[Rule, ...], tags: str = "tags", a
     """features that a rule approves, with layer, min_z, max_z and meta (array of key and typed value).
 
     The first rule that holds is found once per row, as a number; layer, zoom and metadata
-    follow from it. An approved feature without a layer is an error of the profile.
+    follow from it. They pass through a generator, so that the filter on the zoom isn't pushed
+    below it with a copy of every rule. An approved feature without a layer is an error.
     """
     t = F.col(tags)
     none = F.lit(None)
+    kind = "array<struct<key:string,value:struct<vtype:tinyint,s:string,d:double,i:bigint>>>"
     first = none.cast("int")
     for i, rule in reversed(list(enumerate(rules))):
         first = F.when(rule.when(t), F.lit(i)).otherwise(first)
-    features = features.withColumn("_rule", first)
-    zoom = _by_rule(rules, lambda r: min_by_area(F.col(area), r.by_area) if r.by_area else F.lit(r.zoom).cast("int"), none.cast("int"))
-    layer = _by_rule(rules, lambda r: F.lit(r.layer), none.cast("string"))
-    kind = "array<struct<key:string,value:struct<vtype:tinyint,s:string,d:double,i:bigint>>>"
 
     def entries(rule: Rule) -> Column:
         if not rule.meta:
             return F.array().cast(kind)
-        made = F.array(*[F.struct(F.lit(m.key).alias("key"), m.value(t).alias("value")) for m in rule.meta])
-        return F.array_sort(F.filter(made, lambda m: m["value"].isNotNull())).cast(kind)
-
-    out = features.withColumns({"layer": layer, "min_z": zoom, "max_z": _by_rule(rules, lambda r: F.lit(r.max_zoom), none.cast("int")), "meta": _by_rule(rules, entries, none.cast(kind))}).drop("_rule")
-    out = out.where(F.col("min_z").isNotNull())
-    return out.withColumn("layer", F.when(F.col("layer").isNull() | (F.col("layer") == ""), F.raise_error(F.lit("approved feature without a layer"))).otherwise(F.col("layer")))
+        made = F.array(*[F.struct(F.lit(m.key).alias("key"), m.value(t).alias("value")) for m in sorted(rule.meta, key=lambda m: m.key)])
+        return F.filter(made, lambda m: m["value"].isNotNull()).cast(kind)
+
+    def outputs(n: Column) -> Column:
+        zoom = _by_rule(rules, n, lambda r: min_by_area(F.col(area), r.by_area) if r.by_area else F.lit(r.zoom).cast("int"), none.cast("int"))
+        return F.struct(
+            _by_rule(rules, n, lambda r: F.lit(r.layer), none.cast("string")).alias("layer"), zoom.alias("min_z"),
+            _by_rule(rules, n, lambda r: F.lit(r.max_zoom), none.cast("int")).alias("max_z"), _by_rule(rules, n, entries, none.cast(kind)).alias("meta"),
+        )
+
+    made = features.withColumn("_made", F.explode(F.transform(F.array(first), outputs))).where(F.col("_made.min_z").isNotNull())
+    rest = [c for c in features.columns if c not in ("layer", "min_z", "max_z", "meta")]
+    layer = F.when(F.coalesce(F.col("_made.layer"), F.lit("")) == "", F.raise_error(F.lit("approved feature without a layer"))).otherwise(F.col("_made.layer"))
+    return made.select(*rest, layer.alias("layer"), "_made.min_z", "_made.max_z", "_made.meta")
 
 
 # -- the bundled profiles -----------------------------------------------------------------
