@@ -21,7 +21,7 @@ def above(a: str, b: str) -> str:
 
 
 def _best(spark, sf):
-    rows = spatial.assign_cells(fx.rects(spark, sf)).withColumn("t", tm.best_tile(c("cell_x"), c("cell_y"), *BOX))
+    rows = spatial.assign_cells(fx.rects(spark, sf)).withColumn("t", tm.best_tile(c("cell_x"), c("cell_y"), *map(c, BOX)))
     return rows.select("id", "w", "h", "cell_x", "cell_y", "t.z", "t.x", "t.y")
 
 

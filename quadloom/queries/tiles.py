@@ -11,7 +11,7 @@ from quadloom.operators import spatial
 from quadloom.queries import query
 
 c = F.col
-BOX = [c("min_x"), c("min_y"), c("max_x"), c("max_y")]
+BOX = ("min_x", "min_y", "max_x", "max_y")
 
 _INV = "degrees(2 * atan(exp(pi() * (1 - 2 * y / 4294967296.0))) - pi() / 2)"
 
@@ -100,7 +100,7 @@ def best_sql(body: str) -> str:
 
 @query("best_tile", best_sql("SELECT id, cell_x, cell_y, z, x, y FROM best"))
 def run_best_tile(spark, sf):
-    rows = spatial.assign_cells(fx.rects(spark, sf)).withColumn("t", tm.best_tile(c("cell_x"), c("cell_y"), *BOX))
+    rows = spatial.assign_cells(fx.rects(spark, sf)).withColumn("t", tm.best_tile(c("cell_x"), c("cell_y"), *map(c, BOX)))
     return rows.select("id", "cell_x", "cell_y", "t.z", "t.x", "t.y")
 
 
@@ -200,7 +200,7 @@ def run_scan_indexed(spark, sf):
 def run_pack_order(spark, sf):
     from pyspark.sql import Window
 
-    t = tm.best_tile(c("cell_x"), c("cell_y"), *BOX)
+    t = tm.best_tile(c("cell_x"), c("cell_y"), *map(c, BOX))
     rows = spatial.assign_cells(fx.rects(spark, sf)).withColumn("t", t).withColumn("min_z", 8 + c("id") % 4)
     w = Window.partitionBy("cell_x", "cell_y").orderBy("min_z", tm.quad_key(c("t.z"), c("t.x"), c("t.y")), "id")
     return rows.select("id", "cell_x", "cell_y", "min_z", F.row_number().over(w).cast("long").alias("place"))
