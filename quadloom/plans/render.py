@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quadloom.constants import LINE, POINT
 from quadloom.functions.geometry import bounding_box
-from quadloom.functions.tilemath import best_tile, pixel_to_tile, quad_key, require_tile
+from quadloom.functions.tilemath import best_tile, quad_key, require_tile
 from quadloom.operators import shapes, spatial
 from quadloom.operators.mvt import encode_tiles
 from quadloom.operators.tilesets import covered
@@ -47,7 +47,6 @@ def write_store(store: DataFrame, path: str) -> None:
     """Files sorted by cell, lowest zoom and quad key: cell and zoom predicates skip row groups."""
     best = best_tile(F.col("cell_x"), F.col("cell_y"), *[F.col(c) for c in spatial.BOX])
     rows = store.withColumn("_t", best).withColumn("quad_key", quad_key(F.col("_t.z"), F.col("_t.x"), F.col("_t.y")))
-    rows = rows.withColumn("cell_row", F.call_function("shiftright", F.col("cell_y"), F.lit(4)))
     rows.drop("_t").repartitionByRange("cell_y", "cell_x", "min_z").sortWithinPartitions("cell_y", "cell_x", "min_z", "quad_key", "id").write.mode("overwrite").parquet(path)
 
 
@@ -115,6 +114,3 @@ def get_tile(spark: SparkSession, store: DataFrame, z: int, x: int, y: int, flag
     row = get_tiles(store, spark.range(1).select(*[F.lit(v).cast("long").alias(n) for n, v in (("z", z), ("x", x), ("y", y))]), flags).first()
     return None if row is None else bytes(row["mvt"])
 
-
-def cell_of_pixel(x, y):
-    return pixel_to_tile(x, 10), pixel_to_tile(y, 10)

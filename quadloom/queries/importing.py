@@ -1,7 +1,5 @@
 """OSM assembly and file sources."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from quadloom import fixtures as fx
@@ -9,7 +7,7 @@ from quadloom.fixtures import sql
 from quadloom.functions.mercator import fixed_to_latlng
 from quadloom.operators import shapes, tables
 from quadloom.queries import query
-from quadloom.sources import osm_pbf, shapefile
+from quadloom.sources import osm_pbf, shapefile, shared_folder
 
 c = F.col
 
@@ -42,17 +40,13 @@ def run_multipolygon(spark, sf):
     return out.select("relation_id", "n_parts", F.size(c("parts")[0]).alias("n_rings"))
 
 
-def _folder() -> str:
-    return tempfile.mkdtemp(prefix="quadloom-extract-")
-
-
 @query("scan_osm")
 def run_scan_osm(spark, sf):
     """A small extract of the derived nodes and ways, written as a PBF file and scanned."""
     n = fx.nodes(spark, sf).orderBy("node_id").limit(5000).withColumn("p", fixed_to_latlng(c("x"), c("y"))).select("node_id", "p.lat", "p.lng").collect()
     rows = [("node", r["node_id"], r["lat"], r["lng"], {"place": "city"} if r["node_id"] % 5 == 0 else {}, None, None) for r in n]
     rows += [("way", 10_000_000 + k, None, None, {"highway": "trunk"}, [r["node_id"] for r in n[k : k + 4]], None) for k in range(0, len(n) - 4, 4)]
-    path = f"{_folder()}/extract.osm.pbf"
+    path = f"{shared_folder(spark, 'extract')}/extract.osm.pbf"
     osm_pbf.write(path, rows)
     spark.dataSource.register(osm_pbf.OsmPbfSource)
     scan = spark.read.format("osm_pbf").option("path", path).load()
@@ -64,6 +58,6 @@ def run_scan_shp(spark, sf):
     """A small extract of the derived rectangles, written as a zipped shapefile and scanned."""
     r = fx.rects(spark, sf).orderBy("id").limit(1000)
     r = r.withColumn("a", fixed_to_latlng(c("min_x"), c("min_y"))).withColumn("b", fixed_to_latlng(c("max_x"), c("max_y"))).select("a.*", c("b.lat").alias("lat2"), c("b.lng").alias("lng2")).collect()
-    path = f"{_folder()}/land.zip"
+    path = f"{shared_folder(spark, 'extract')}/land.zip"
     shapefile.write(path, [[[(x["lng"], x["lat"]), (x["lng"], x["lat2"]), (x["lng2"], x["lat2"]), (x["lng2"], x["lat"]), (x["lng"], x["lat"])]] for x in r])
     return shapefile.read(spark, path).select("shape", F.size("rings").alias("n_rings"), F.size(c("rings")[0]).alias("n_points"))

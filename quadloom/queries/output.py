@@ -48,7 +48,7 @@ def run_mvt_encode(spark, sf):
 
 @query("prepare_tiles")
 def run_prepare_tiles(spark, sf):
-    tiles = render.prepare_tiles(store(spark, sf), 10, 8, fx.seaside(spark, sf))
+    tiles = render.prepare_tiles(store(spark, sf), 10, 8, fx.seaside(spark, sf).where("z >= 9"))
     return tiles.select("z", "x", "y", "n_features", F.length("mvt").alias("bytes"))
 
 

@@ -1,0 +1,19 @@
+"""Readers of the formats that features come in."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        return tempfile.mkdtemp(prefix=f"quadloom-{label}-")
+    path = f"{root.removeprefix('file://').rstrip('/')}/quadloom/{label}-{uuid.uuid4().hex[:12]}"
+    os.makedirs(path)
+    return path
