@@ -37,7 +37,8 @@ from quadloom.llm.bwt import repeated
 WIDTH = 200
 GRAM = 32
 STEP = 32
-BATCH_BYTES = 2 << 20
+#: Contents merged at a time: 16 bits then number all 8-byte characters.
+BATCH_BYTES = 56 << 10
 MOST_CONTENTS = 4096
 LAST = (1 << 63) - 1
 PLACE = (1 << 28) - 1
