@@ -25,6 +25,7 @@ from quadloom.llm._common import gapless_rank, save
 SHARDS = 8
 OLD_SHARDS = 6
 BLOCKS = 1 << 14
+FILE_BYTES = 32 << 20
 
 
 def block_of(text: Column) -> Column:
@@ -116,14 +117,14 @@ def assign(sizes: np.ndarray, old: np.ndarray, shards: int) -> np.ndarray:
     return new
 
 
-def plan(docs: DataFrame, text: str = "text", shards: int = SHARDS, old_shards: int = OLD_SHARDS) -> DataFrame:
-    """(block, old_shard, shard), one row for each block: BLOCKS rows at most."""
+def plan(docs: DataFrame, text: str = "text", shards: int = SHARDS, old_shards: int = OLD_SHARDS) -> tuple[DataFrame, int]:
+    """(block, old_shard, shard), one row for each block (BLOCKS rows at most), and all bytes."""
     spark = docs.sparkSession
     rows = docs.select(block_of(F.col(text)).alias("block"), size_of(F.col(text)).alias("size")).groupBy("block").agg(F.sum("size").alias("size")).collect()
     block = np.array(sorted((r["block"], r["size"]) for r in rows), dtype=np.int64).reshape(-1, 2)
     old = old_shard(block[:, 0], old_shards)
     new = assign(block[:, 1], old, shards)
-    return spark.createDataFrame([tuple(map(int, x)) for x in zip(block[:, 0], old, new)], "block int, old_shard int, shard int")
+    return spark.createDataFrame([tuple(map(int, x)) for x in zip(block[:, 0], old, new)], "block int, old_shard int, shard int"), int(block[:, 1].sum())
 
 
 def reshard(docs: DataFrame, text: str = "text", shards: int = SHARDS, old_shards: int = OLD_SHARDS, moved_only: bool = False) -> DataFrame:
@@ -131,13 +132,15 @@ def reshard(docs: DataFrame, text: str = "text", shards: int = SHARDS, old_shard
 
     moved_only writes only rows that change their shard, for a layout that already has the rest.
     """
-    where = plan(docs, text, shards, old_shards)
+    where, total = plan(docs, text, shards, old_shards)
     rest = [c for c in docs.columns if c not in ("block", "shard", "old_shard")]
     rows = docs.select(*rest, block_of(F.col(text)).alias("block")).join(F.broadcast(where), "block")  # BLOCKS rows
     if moved_only:
         rows = rows.where("old_shard <> shard")
-    # a hot block is spread over as many files as its rows need
-    return save(rows.select(*rest, "block", "shard").repartition("shard", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rest if not docs.schema[c].dataType.simpleString().startswith("map")]), F.lit(16))), "shards", ["shard"])
+    # a shard is as many files as its bytes need, whatever its blocks: a hot one is spread over all
+    files = max(16, -(-total // (shards * FILE_BYTES)))
+    plain = [F.col(f"`{c}`") for c in rest if "map<" not in docs.schema[c].dataType.simpleString()]
+    return save(rows.select(*rest, "block", "shard").repartition("shard", F.pmod(F.xxhash64(*plain), F.lit(files))), "shards", ["shard"])
 
 
 def op8_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
