@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadloom.llm import mixing, packing, quality_rules, simhash_anchors, substring_dedup
+from quadloom.llm import mixing, packing, quality_rules, similar_texts, substring_dedup
 from quadloom.llm._common import save
 
 
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash_anchors.keep_one(docs)
+    """One document of each group linked by a similarity of 0.8 or more of its five-word shingles."""
+    return similar_texts.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

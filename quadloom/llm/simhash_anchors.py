@@ -230,10 +230,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return prints.join(label, "fp").select("doc_id", "fp", "tag", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id, once."""
+def one_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay: of each component of groups (doc_id, fp, tag, component_id) the one with the smallest doc_id, once."""
     last = F.lit((1 << 63) - 1)
-    stays = near_duplicates(docs, key, text, shingle, threshold).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stays = stays.select(F.coalesce("doc_id", last).alias("_ord"), F.col("component_id").alias("_c"), F.col("fp").alias("_fp"), F.col("tag").alias("_tag"))
     # of rows that share the smallest doc_id, one; of components without any doc_id, one per fingerprint
     stays = stays.groupBy("_ord", F.when(F.col("_c").isNull(), F.col("_fp")).alias("_g")).agg(F.min("_tag").alias("_tag")).select("_ord", "_tag").distinct()
@@ -243,6 +243,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     return rows.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*docs.columns)
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of docs that stay: of each component the one with the smallest doc_id, once."""
+    return one_each(docs, near_duplicates(docs, key, text, shingle, threshold), key, text)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
