@@ -7,7 +7,8 @@
 3. NN-descent: each round, the neighbours of a class meet each other (neighbours of
    neighbours), and better ones enter the lists. Lists hold EXPLORE cosine or more, the only
    neighbours whose neighbours can be near. A saturated list (all its entries are links) is
-   doubled up to MOST_NEIGHBOURS; rounds end when no list changes.
+   doubled up to MOST_NEIGHBOURS; rounds end when no list changes. Classes whose list is saturated
+   at that length are compared with all classes of other components, block by block.
 4. Links (cosine >= threshold in double precision) give components. What a list can't hold is
    counted exactly: links join members of one component only, so each component is compared
    block by block, as sums per class; no pairs are written.
@@ -38,7 +39,6 @@ BITS = 40
 BLOCK = 256
 NEIGHBOURS = 16
 MOST_NEIGHBOURS = 128
-ROUNDS = 6
 AUDIT = 512
 RECALL = 0.98
 MORE = 3
@@ -144,7 +144,7 @@ def _descend(base: DataFrame, graph: DataFrame, lists: DataFrame, dim: int, thre
     graph = save(_grow(graph.union(graph.select("b", "a", "s")), lists), "graph")
     same = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     seen = tuple(graph.agg(*same).first())
-    for _ in range(ROUNDS):
+    while True:  # lists only get better, so this ends
         full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least")).join(lists, "a", "left")
         k = F.coalesce("k", F.lit(NEIGHBOURS))
         longer = full.select("a", F.when((F.col("n") >= k) & (F.col("least") >= threshold), F.least(2 * k, F.lit(MOST_NEIGHBOURS))).otherwise(k).alias("k"))
@@ -159,6 +159,55 @@ def _descend(base: DataFrame, graph: DataFrame, lists: DataFrame, dim: int, thre
     return graph, lists
 
 
+def _across(dim: int, threshold: float):
+    """Over (pair, full, root, cid, v) sorted by pair: for each saturated class a link to each other component of its block pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def work(rows):
+            key, full, root, cid, u = rows
+            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            out = [np.zeros((0, 2), np.int64)]
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                x, y = lo + np.flatnonzero(full[lo:hi]), lo + np.flatnonzero(~full[lo:hi])
+                i, j = np.nonzero((u[x] @ u[y].T >= threshold) & (root[x][:, None] != root[y][None, :]))
+                if len(i):
+                    first = np.unique(np.stack([cid[x][i], root[y][j]], axis=1), axis=0, return_index=True)[1]
+                    out.append(np.stack([cid[x][i[first]], cid[y][j[first]]], axis=1))
+            made = np.concatenate(out)
+            return pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            now = (*(np.asarray(batch.column(i)) for i in (0, 1, 2, 3)), unit(batch.column(4), dim))
+            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
+            edge = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
+            if len(edge):
+                yield work(tuple(x[: edge[-1]] for x in held))
+                held = tuple(x[edge[-1] :] for x in held)
+        if held is not None and len(held[0]):
+            yield work(held)
+
+    return run
+
+
+def cut_links(base: DataFrame, graph: DataFrame, roots: DataFrame, dim: int, threshold: float) -> DataFrame | None:
+    """Edges (a, b) between components that lists at their greatest length may have cut; None if no list is that long."""
+    full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least")).where((F.col("n") >= MOST_NEIGHBOURS) & (F.col("least") >= threshold))
+    full = save(full.select(F.col("a").alias("cid")), "saturated")
+    n_full = full.count()
+    if not n_full:
+        return None
+    wide, deep = -(-n_full // COUNT_BLOCK), -(-base.count() // COUNT_BLOCK)
+    rows = base.join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "v")
+    own = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = rows.join(full, "cid", "left_semi").withColumn("i", own(wide)).withColumn("j", each(deep)).withColumn("full", F.lit(True))
+    b = rows.withColumn("j", own(deep)).withColumn("i", each(wide)).withColumn("full", F.lit(False))
+    met = a.unionByName(b).select((F.col("i").cast("long") * deep + F.col("j")).alias("pair"), "full", "root", "cid", "v")
+    return save(met.repartition("pair").sortWithinPartitions("pair").mapInArrow(_across(dim, threshold), "a long, b long"), "across")
+
+
 def _count(dim: int, threshold: float):
     """Over (root, pair, side, cid, n, v) sorted by (root, pair): links between the two blocks of a pair, per class."""
 
@@ -254,7 +303,11 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         placed = placed.repartitionByRange("tree", "sig", "cid").sortWithinPartitions("tree", "sig", "cid").select("cid", "v")
         leaves = placed.mapInArrow(_blocks(dim, NEIGHBOURS, explore), "a long, b long, s double")
         graph, lists = _descend(base, graph.union(leaves), lists, dim, threshold, explore)
-        roots = components(graph.where(F.col("s") >= threshold).select("a", "b"), "embeddings")
+        links = graph.where(F.col("s") >= threshold).select("a", "b")
+        roots = components(links, "embeddings")
+        across = cut_links(base, graph, roots, dim, threshold)
+        if across is not None:
+            roots = components(links.union(across), "embeddings")
         # a component's root is a member too
         roots = save(roots.union(roots.select("root", "root").distinct()), "roots")
         counts = save(link_counts(base, roots, dim, threshold), "counts")

@@ -52,3 +52,15 @@ def test_dense_group_and_edges(spark, table):
     assert nn.near_duplicates(none).count() == 0
     twice = spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.0]), (None, [1.0, 0.1])], "vec_id long, embedding array<double>")
     assert [(r["n_links"], r["component_id"]) for r in nn.near_duplicates(twice).collect()] == [(2, 5)] * 3
+
+
+def test_groups_whose_cross_links_are_weaker_than_a_full_list(spark):
+    rng = np.random.default_rng(6)
+    a, b = np.zeros(24), np.zeros(24)
+    a[0], b[0], b[1] = 1, 0.955, np.sqrt(1 - 0.955**2)
+    noise = lambda: 0.0125 * rng.standard_normal(24)
+    vectors = [(a + noise()).tolist() for _ in range(150)] + [(b + noise()).tolist() for _ in range(150)]
+    want = brute(list(range(300)), vectors)
+    assert {c for _, c in want.values()} == {0} and min(n for n, _ in want.values()) >= nn.MOST_NEIGHBOURS
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    check(nn.near_duplicates(df).collect(), want)
