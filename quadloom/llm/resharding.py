@@ -76,11 +76,57 @@ def min_cost_flow(supply: np.ndarray, demand: np.ndarray, cost: np.ndarray) -> n
     return flow
 
 
+def _even_out(sizes: np.ndarray, new: np.ndarray, load: np.ndarray, hi: int, lo: int) -> bool:
+    """Move a block from shard hi to lo, or exchange two, if that narrows their gap; whether it did."""
+    gap = load[hi] - load[lo]
+    a, b = np.flatnonzero(new == hi), np.flatnonzero(new == lo)
+    if not len(a):
+        return False
+    give = np.sort(np.append(sizes[b], 0))
+    # for each block of the large shard, the block (or none) to get back that brings the gap nearest to zero
+    want = sizes[a] - gap / 2
+    at = np.clip(np.searchsorted(give, want), 0, len(give) - 1)
+    before = np.clip(at - 1, 0, len(give) - 1)
+    at = np.where(np.abs(give[before] - want) < np.abs(give[at] - want), before, at)
+    after = np.abs(gap - 2 * (sizes[a] - give[at]))
+    k = int(np.argmin(after))
+    if after[k] >= gap:
+        return False
+    x, y = a[k], give[at[k]]
+    new[x] = lo
+    if y:
+        new[b[np.flatnonzero(sizes[b] == y)[0]]] = hi
+    load[hi] -= sizes[x] - y
+    load[lo] += sizes[x] - y
+    return True
+
+
+def capacities(sizes: np.ndarray, shards: int) -> np.ndarray:
+    """Equal parts of all bytes; a block larger than its part fills a shard alone and the others share the rest."""
+    left, alone = int(sizes.sum()), []
+    for n in sorted(map(int, sizes), reverse=True)[: shards - 1]:
+        if n * (shards - len(alone)) <= left:
+            break
+        alone.append(n)
+        left -= n
+    rest = shards - len(alone)
+    return np.array(alone + [left * (j + 1) // rest - left * j // rest for j in range(rest)])
+
+
 def assign(sizes: np.ndarray, old: np.ndarray, shards: int) -> np.ndarray:
     """New shard of each block."""
-    total, n_old = int(sizes.sum()), int(old.max()) + 1 if len(old) else 1
+    n_old = int(old.max()) + 1 if len(old) else 1
     supply = np.bincount(old, weights=sizes, minlength=n_old).astype(np.int64)
-    capacity = np.array([total * (j + 1) // shards - total * j // shards for j in range(shards)])
+    capacity = capacities(sizes, shards)
+    alone = np.argsort(-sizes, kind="stable")[: int((capacity > capacity[-1] + 1).sum())]
+    # a shard that one block fills is the one where that block lies, if it can be
+    at_home: dict[int, int] = {}
+    for k, b in enumerate(alone):
+        if old[b] < shards:
+            at_home.setdefault(int(old[b]), k)
+    others = iter([k for k in range(shards) if k not in at_home.values()])
+    places = [at_home[j] if j in at_home else next(others) for j in range(shards)]
+    capacity = capacity[places]
     cost = 1 - np.eye(n_old, shards, dtype=np.int64)
     flow = min_cost_flow(supply, capacity, cost)
     new = np.zeros(len(sizes), dtype=np.int64)
@@ -89,31 +135,12 @@ def assign(sizes: np.ndarray, old: np.ndarray, shards: int) -> np.ndarray:
         for b in sorted(np.flatnonzero(old == i), key=lambda b: (-sizes[b], b)):
             new[b] = int(np.argmax(due))
             due[new[b]] -= sizes[b]
-    # even out: move or exchange blocks between the largest and the smallest shard while that helps
+    # even out: move or exchange blocks between the largest and the smallest shard that can, until no pair improves
     load = np.bincount(new, weights=sizes, minlength=shards)
-    for _ in range(64 * shards):
-        hi, lo = int(np.argmax(load)), int(np.argmin(load))
-        gap = load[hi] - load[lo]
-        a, b = np.flatnonzero(new == hi), np.flatnonzero(new == lo)
-        if gap <= 1 or not len(a):
-            break
-        give = np.append(np.sort(sizes[b]), 0) if len(b) else np.array([0])
-        give = np.sort(give)
-        # for each block of the large shard, the block (or none) to get back that brings the gap nearest to zero
-        want = sizes[a] - gap / 2
-        at = np.clip(np.searchsorted(give, want), 0, len(give) - 1)
-        before = np.clip(at - 1, 0, len(give) - 1)
-        at = np.where(np.abs(give[before] - want) < np.abs(give[at] - want), before, at)
-        after = np.abs(gap - 2 * (sizes[a] - give[at]))
-        k = int(np.argmin(after))
-        if after[k] >= gap:
-            break
-        x, y = a[k], give[at[k]]
-        new[x] = lo
-        if y:
-            new[b[np.flatnonzero(sizes[b] == y)[0]]] = hi
-        load[hi] -= sizes[x] - y
-        load[lo] += sizes[x] - y
+    improved = True
+    while improved:  # the sum of squares falls strictly, so this ends
+        order = np.argsort(-load, kind="stable")
+        improved = any(_even_out(sizes, new, load, hi, lo) for hi in order for lo in order[::-1] if load[hi] - load[lo] > 1)
     return new
 
 

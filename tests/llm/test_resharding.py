@@ -63,3 +63,15 @@ def test_moves_little_and_evens_out():
     load = np.bincount(new, weights=sizes, minlength=8)
     assert load.max() - load.min() <= 2
     assert sizes[new != old].sum() < 1.05 * sizes.sum() / 4
+
+
+@pytest.mark.parametrize("hot", [(0,), (1000, 3000), (100, 200, 3900)])
+def test_shards_without_a_hot_text_are_even(hot):
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 1000, 4000)
+    for b in hot:
+        sizes[b] = 1_000_000
+    new = rs.assign(sizes, rs.old_shard(np.arange(4000) * rs.BLOCKS // 4000, 6), 8)
+    load = np.bincount(new, weights=sizes, minlength=8)
+    rest = np.sort(load)[: 8 - len(hot)]
+    assert rest.sum() == sizes.sum() - 1_000_000 * len(hot) and rest.max() - rest.min() <= 2
