@@ -5,15 +5,16 @@
    random hyperplanes meet their neighbours in overlapping blocks of fixed size. A hot leaf is
    just more blocks.
 3. NN-descent: each round, the neighbours of a class meet each other (neighbours of
-   neighbours), and better ones enter the lists. Lists hold EXPLORE cosine or more, the only
-   neighbours whose neighbours can be near. A saturated list (all its entries are links) is
+   neighbours), and better ones enter the lists. Lists hold the nearest whatever their cosine,
+   so that a vector without near neighbours goes on searching. A saturated list (all its entries are links) is
    doubled up to MOST_NEIGHBOURS; rounds end when no list changes. Classes whose list is saturated
    at that length are compared with all classes of other components, block by block.
 4. Links (cosine >= threshold in double precision) give components. What a list can't hold is
    counted exactly: links join members of one component only, so each component is compared
    block by block, as sums per class; no pairs are written.
-5. Audit: AUDIT classes, chosen by hash, are compared with all rows. While their recall is
-   below RECALL, more trees are added and the rounds repeat.
+5. Audit: up to AUDIT classes, chosen by hash, of each stratum (no component, a small one, a
+   large one) are compared with all rows. While the mean recall of a stratum's classes that
+   have links is below RECALL, more trees are added and the rounds repeat.
 
 Defined results: null, zero and non-finite vectors and those whose length isn't the table's
 greatest link with nothing; equal vectors link (cosine 1); rows that repeat count each other;
@@ -23,6 +24,7 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +35,15 @@ from pyspark.sql import functions as F
 from quadloom.llm._common import components, save
 
 THRESHOLD = 0.95
-EXPLORE = 0.6
 TREES = 8
 BITS = 40
 BLOCK = 256
 NEIGHBOURS = 16
 MOST_NEIGHBOURS = 128
 AUDIT = 512
+#: classes of a component that the audit takes as small
+SMALL = 16
 RECALL = 0.98
-MORE = 3
 COUNT_BLOCK = 512
 
 
@@ -77,7 +79,7 @@ def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], ["a", "b", "s"])
 
 
-def _blocks(dim: int, k: int, explore: float):
+def _blocks(dim: int, k: int):
     """Over rows in order: overlapping blocks; each class's k best of its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +87,7 @@ def _blocks(dim: int, k: int, explore: float):
 
         def work(i, u):
             sim = u @ u.T
-            np.fill_diagonal(sim, -1)
-            a, b = np.nonzero((sim >= explore) & (i[:, None] != i[None, :]))
+            a, b = np.nonzero(i[:, None] != i[None, :])
             keep = _top(a, b, sim[a, b], k) if len(a) else a
             return _edges(i[a[keep]], i[b[keep]], sim[a[keep], b[keep]])
 
@@ -101,7 +102,7 @@ def _blocks(dim: int, k: int, explore: float):
     return run
 
 
-def _join_locally(dim: int, explore: float):
+def _join_locally(dim: int):
     """Over (a, k, b, v) sorted by a: the neighbours b of one a meet; the k best of each are candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +123,9 @@ def _join_locally(dim: int, explore: float):
         for lo, hi in zip(edge[:-1], edge[1:]):
             if hi - lo > 1:
                 sim = u[lo:hi] @ u[lo:hi].T
-                np.fill_diagonal(sim, -1)
-                i, j = np.nonzero(sim >= explore)
-                if len(i):
-                    keep = _top(i, j, sim[i, j], int(k[lo]))
-                    yield _edges(b[lo:hi][i[keep]], b[lo:hi][j[keep]], sim[i[keep], j[keep]])
+                i, j = np.nonzero(~np.eye(hi - lo, dtype=bool))
+                keep = _top(i, j, sim[i, j], int(k[lo]))
+                yield _edges(b[lo:hi][i[keep]], b[lo:hi][j[keep]], sim[i[keep], j[keep]])
 
     return run
 
@@ -139,7 +138,7 @@ def _grow(graph: DataFrame, lists: DataFrame) -> DataFrame:
     return got.select("a", F.explode(F.slice("x", 1, k)).alias("x")).select("a", "x.b", (-F.col("x.n")).alias("s"))
 
 
-def _descend(base: DataFrame, graph: DataFrame, lists: DataFrame, dim: int, threshold: float, explore: float) -> tuple[DataFrame, DataFrame]:
+def _descend(base: DataFrame, graph: DataFrame, lists: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Rounds of neighbours of neighbours until no list changes."""
     graph = save(_grow(graph.union(graph.select("b", "a", "s")), lists), "graph")
     same = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
@@ -150,7 +149,7 @@ def _descend(base: DataFrame, graph: DataFrame, lists: DataFrame, dim: int, thre
         longer = full.select("a", F.when((F.col("n") >= k) & (F.col("least") >= threshold), F.least(2 * k, F.lit(MOST_NEIGHBOURS))).otherwise(k).alias("k"))
         lists = save(longer, "lists")
         meet = graph.join(lists, "a").join(base.select(F.col("cid").alias("b"), "v"), "b").select("a", "k", "b", "v")
-        found = meet.repartition("a").sortWithinPartitions("a").mapInArrow(_join_locally(dim, explore), "a long, b long, s double")
+        found = meet.repartition("a").sortWithinPartitions("a").mapInArrow(_join_locally(dim), "a long, b long, s double")
         graph = save(_grow(graph.union(graph.select("b", "a", "s")).union(found), lists), "graph")
         now = tuple(graph.agg(*same).first())
         if now == seen:
@@ -271,19 +270,26 @@ def _compare_all(dim: int, threshold: float, probes: np.ndarray, names: np.ndarr
     return run
 
 
-def audit(base: DataFrame, counts: DataFrame, dim: int, threshold: float) -> float:
-    """Share of the links of AUDIT classes (a sample of fixed size) that were found."""
-    rows = base.orderBy(F.xxhash64("cid", F.lit(7)), "cid").limit(AUDIT).collect()
+def audit(base: DataFrame, counts: DataFrame, roots: DataFrame, dim: int, threshold: float) -> float:
+    """The least, over the strata, of the mean share of its links that a class of the sample (of fixed size) found."""
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    stratum = F.when(F.col("m").isNull(), 0).when(F.col("m") <= SMALL, 1).otherwise(2)
+    placed = base.join(roots.join(sizes, "root"), F.col("cid") == F.col("node"), "left").select("cid", "v", stratum.alias("stratum"))
+    rows = []
+    for k in range(3):
+        rows += placed.where(F.col("stratum") == k).orderBy(F.xxhash64("cid", F.lit(7)), "cid").limit(AUDIT).collect()
     if not rows:
         return 1.0
     probes = unit(pa.array([r["v"] for r in rows], pa.list_(pa.float64())), dim)
     names = np.array([r["cid"] for r in rows])
     every = base.select("cid", "n", "v").mapInArrow(_compare_all(dim, threshold, probes, names), "cid long, all long").groupBy("cid").agg(F.sum("all").alias("all"))
-    got = every.join(counts, "cid", "left").agg(F.sum("all"), F.sum(F.least("all", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    share = {r["cid"]: min(1.0, r["links"] / r["all"]) for r in every.where("all > 0").join(counts, "cid", "left").select("cid", "all", F.coalesce("links", F.lit(0)).alias("links")).collect()}
+    # a class without a component and a link is no evidence; one lost link in a stratum must not drown in the others
+    means = [np.mean(found) for k in range(3) if (found := [share[r["cid"]] for r in rows if r["stratum"] == k and r["cid"] in share])]
+    return float(min(means, default=1.0))
 
 
-def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, explore: float = EXPLORE) -> DataFrame:
+def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall) of every row."""
     rows = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("v", lambda x: x != 0)
@@ -297,12 +303,12 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     lists = base.sparkSession.createDataFrame([], "a long, k int")
     graph = base.sparkSession.createDataFrame([], "a long, b long, s double")
-    for round_ in range(1 + MORE):
+    for round_ in itertools.count():
         seeds = list(range(round_ * TREES, (round_ + 1) * TREES))
         placed = base.select("cid", "v").mapInArrow(_signatures(dim, seeds), "tree long, sig long, cid long, v array<double>")
         placed = placed.repartitionByRange("tree", "sig", "cid").sortWithinPartitions("tree", "sig", "cid").select("cid", "v")
-        leaves = placed.mapInArrow(_blocks(dim, NEIGHBOURS, explore), "a long, b long, s double")
-        graph, lists = _descend(base, graph.union(leaves), lists, dim, threshold, explore)
+        leaves = placed.mapInArrow(_blocks(dim, NEIGHBOURS), "a long, b long, s double")
+        graph, lists = _descend(base, graph.union(leaves), lists, dim, threshold)
         links = graph.where(F.col("s") >= threshold).select("a", "b")
         roots = components(links, "embeddings")
         across = cut_links(base, graph, roots, dim, threshold)
@@ -311,7 +317,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         # a component's root is a member too
         roots = save(roots.union(roots.select("root", "root").distinct()), "roots")
         counts = save(link_counts(base, roots, dim, threshold), "counts")
-        recall = audit(base, counts, dim, threshold)
+        recall = audit(base, counts, roots, dim, threshold)
         if recall >= RECALL:
             break
     placed = base.join(roots, base["cid"] == roots["node"], "left").select("cid", "v", "n", "least", F.coalesce("root", "cid").alias("root"))

@@ -64,3 +64,15 @@ def test_groups_whose_cross_links_are_weaker_than_a_full_list(spark):
     assert {c for _, c in want.values()} == {0} and min(n for n, _ in want.values()) >= nn.MOST_NEIGHBOURS
     df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
     check(nn.near_duplicates(df).collect(), want)
+
+
+def test_audit_sees_lone_pairs_beside_a_hot_group(spark):
+    rng = np.random.default_rng(8)
+    hot = [(np.eye(24)[0] + 0.02 * rng.standard_normal(24)).tolist() for _ in range(300)]
+    lone = [v.tolist() for x in rng.standard_normal((20, 24)) for v in (x, x + 0.01 * rng.standard_normal(24))]
+    vectors = hot + lone
+    base = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors)], "cid long, v array<double>, n long")
+    # the hot group is found whole, the pairs are not
+    roots = spark.createDataFrame([(i, 0) for i in range(300)], "node long, root long")
+    counts = spark.createDataFrame([(i, 299) for i in range(300)], "cid long, links long")
+    assert nn.audit(base, counts, roots, 24, 0.95) < nn.RECALL
