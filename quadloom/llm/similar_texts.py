@@ -7,8 +7,12 @@ here; what is linked follows from the shingles.
 2. Prefix filter: with the shingles of every set in one global order, two sets of similarity t or
    more share one of the first n - ceil(t n) + 1 of each. The order puts shingles that are frequent
    in a sample last; it decides the cost alone, any order gives all pairs.
-3. Candidates are checked on the whole sets. First the SimHash links and one pivot per shingle, so
-   that dense groups become components at once; then all pairs that lie in different components.
+3. Candidates are first bounded by their prefixes alone: of two sets, the one whose prefix ends
+   first has all its common shingles up to there in the other's prefix, and at most the rest of
+   it in common beyond. This exact bound drops texts that only share a passage.
+4. What is left is checked on the whole sets, which are read for these texts only. First the
+   SimHash links and one pivot per shingle, so that dense groups become components at once; then
+   all pairs that lie in different components.
 
 Defined results: a null or wordless text has the empty set and is linked with its like; a text of
 fewer words than a shingle is one shingle; component_id is the smallest doc_id that is not null.
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadloom.llm._common import components, save
+from quadloom.llm._common import components, drop, save
 from quadloom.llm.simhash_anchors import fingerprint, link_fingerprints, one_each, shingle_hashes
 
 SHINGLE = 5
@@ -64,24 +68,31 @@ def _sets(size: int):
 
 
 def _sketches(size: int, similarity: tuple[int, int], often: np.ndarray, count: np.ndarray):
-    """(doc_id, text, tag) -> the class, fingerprint, size and prefix of each text."""
+    """(doc_id, text, tag) -> the class, fingerprint, size and prefix of each text, and the place of the prefix's end in the order."""
     from xxhash import xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cids, fps, sizes, prefixes = [], [], [], []
+            cids, fps, sizes, prefixes, ranks, ends = [], [], [], [], [], []
             for t in batch.column(1).cast(pa.binary()):
                 hashes = shingle_hashes(t.as_py() or b"", size)
                 own = shingle_set(hashes)
                 cids.append(xxh3_64_intdigest(own.tobytes()))
                 fps.append(fingerprint(hashes))
                 sizes.append(len(own))
+                rank = np.zeros(len(own), dtype=np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, own), len(often) - 1)
-                    own = own[np.lexsort((own, np.where(often[at] == own, count[at], 0)))]
-                prefixes.append(own[: prefix_length(len(own), similarity)])
-            signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (cids, fps)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *signed, pa.array(sizes, pa.int64()), _lists(prefixes)], ["doc_id", "tag", "cid", "fp", "n", "prefix"])
+                    rank = np.where(often[at] == own, count[at], 0)
+                    order = np.lexsort((own, rank))
+                    own, rank = own[order], rank[order]
+                p = prefix_length(len(own), similarity)
+                prefixes.append(own[:p])
+                ranks.append(int(rank[p - 1]) if p else 0)
+                ends.append(int(own[p - 1]) ^ (1 << 63) if p else 0)  # signed numbers in the order of unsigned ones
+            signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (cids, fps, ends)]
+            columns = [batch.column(0), batch.column(2), *signed[:2], pa.array(sizes, pa.int64()), _lists(prefixes), pa.array(ranks, pa.int64()), signed[2]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "cid", "fp", "n", "prefix", "rank", "end"])
 
     return run
 
@@ -96,14 +107,35 @@ def _frequent(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], count[order]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _bounded(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The distinct pairs (a, b) that their prefixes allow to be similar enough."""
     num, den = similarity
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    one, other = [classes.select(F.col("cid").alias(k), F.struct("n", "prefix", "rank", "end").alias(f"x{k}")) for k in ("a", "b")]
+    met = pairs.join(one, "a").join(other, "b")
+    n, m = F.col("xa.n"), F.col("xb.n")
+    a_ends_first = F.struct("xa.rank", "xa.end") <= F.struct("xb.rank", "xb.end")
+    beyond = F.when(a_ends_first, n - F.size("xa.prefix")).otherwise(m - F.size("xb.prefix"))
+    most = F.least(F.size(F.array_intersect("xa.prefix", "xb.prefix")) + beyond, n, m)
+    return met.where(most * (num + den) >= (n + m) * num).select("a", "b")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; the sets are made anew from the texts that the bound leaves."""
+    num, den = similarity
+    pairs = save(_bounded(pairs, classes, similarity), "candidates")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").select("cid", "tag")
+    need = save(need, "needed")
+    # rows of equal texts share a tag: one of them is enough, and the texts themselves aren't shuffled
+    own = source.join(need, "tag", "left_semi").select("tag", "t").mapInArrow(_sets(size), "tag long, shingles array<long>")
+    sets = save(own.groupBy("tag").agg(F.any_value("shingles").alias("shingles")).join(need, "tag").select("cid", "shingles"), "sets")
     one, other = [sets.select(F.col("cid").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b")]
     met = pairs.join(one, "a").join(other, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     # common / (n + m - common) >= num / den
-    return met.where(F.col("common") * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b")
+    links = save(met.where(F.col("common") * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b"), "links")
+    for done in (pairs, need, sets):
+        drop(done)
+    return links
 
 
 def _possible(similarity: tuple[int, int]):
@@ -118,15 +150,12 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     """(doc_id, fp, tag, component_id) of every row of docs, as simhash_anchors.near_duplicates has it; fp names the component."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"), F.xxhash64(text).alias("tag"))
     sketch = _sketches(shingle, similarity, *_frequent(source, shingle))
-    prints = save(source.mapInArrow(sketch, "doc_id long, tag long, cid long, fp long, n long, prefix array<long>"), "sketches")
-    classes = save(prints.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tag").alias("tag"), F.min("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "classes")
+    prints = save(source.mapInArrow(sketch, "doc_id long, tag long, cid long, fp long, n long, prefix array<long>, rank long, end long"), "sketches")
+    same = [F.any_value(c).alias(c) for c in ("n", "prefix", "rank", "end")]
+    classes = save(prints.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("tag").alias("tag"), F.min("fp").alias("fp"), *same), "classes")
     rows = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "h"))
     busy = rows.groupBy("h").count().where("count > 1").select("h")
     rows = save(rows.join(busy, "h"), "prefixes")
-    active = classes.join(rows.select("cid").distinct(), "cid", "left_semi").select("cid", "tag")
-    own = source.select("tag", "t").join(active, "tag").select("tag", "t").mapInArrow(_sets(shingle), "tag long, shingles array<long>")
-    sets = save(own.groupBy("tag").agg(F.any_value("shingles").alias("shingles")).join(active, "tag").select("cid", "shingles"), "sets")
-
     pick = classes.groupBy("fp").agg(F.min("cid").alias("first"))
     near = link_fingerprints(pick.select("fp"))
     a, b = [pick.select(F.col("fp").alias(k), F.col("first").alias(f"c{k}")) for k in ("a", "b")]
@@ -134,7 +163,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     early = early.union(classes.join(pick, "fp").select(F.col("cid").alias("a"), F.col("first").alias("b")))
     pivot = rows.groupBy("h").agg(F.min(F.struct("cid", "n", "pos")).alias("p")).select("h", F.col("p.cid").alias("b"), F.col("p.n").alias("m"), F.col("p.pos").alias("place"))
     star = rows.join(pivot, "h").where(_possible(similarity)).select(F.col("cid").alias("a"), "b")
-    links = save(_verified(early.union(star), sets, similarity), "links")
+    links = _verified(early.union(star), classes, source, shingle, similarity)
 
     roots = components(links, "similar")
     placed = rows.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
@@ -143,7 +172,7 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     placed = save(placed.join(open_, "h"), "open")
     other = placed.select("h", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("root").alias("r"))
     rest = placed.join(other, "h").where((F.col("root") != F.col("r")) & (F.col("cid") < F.col("b")) & _possible(similarity))
-    more = save(_verified(rest.select(F.col("cid").alias("a"), "b"), sets, similarity), "links")
+    more = _verified(rest.select(F.col("cid").alias("a"), "b"), classes, source, shingle, similarity)
 
     roots = components(links.union(more), "similar")
     label = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))

@@ -7,7 +7,7 @@ import pytest
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline  # noqa: E402
 from tests.llm.test_mixing import check as check_mix
-from tests.llm.test_simhash_anchors import slow_components, slow_fingerprint
+from tests.llm.test_similar_texts import slow_components
 from tests.llm.test_substring_dedup import WORD
 
 
@@ -45,7 +45,7 @@ def test_pipeline(spark, documents, tmp_path):
     good = docs.where(docs.doc_id.isin(list(kept)))
     one = stage["SimHash near-dedup"](spark, good, folder)
     assert one.columns == columns
-    root = slow_components({d: slow_fingerprint(t) for d, t in kept.items()})
+    root = slow_components(kept)
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(d for d in kept if root[d] == d)
 
     texts = {r["doc_id"]: r["text"] for r in one.collect()}
