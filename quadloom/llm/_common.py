@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: edges that one task contracts by itself: 16 bytes each
+FEW_EDGES = 1 << 18
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -107,17 +109,19 @@ def _stars(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([pa.array(ids[m]), pa.array(ids[label[m]])], ["a", "b"])
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+def components(edges: DataFrame, label: str = "components", few: int | None = None) -> DataFrame:
     """(node, root): the smallest node that each node of `edges` (a, b: long) reaches.
 
     Each partition first contracts its edges to stars, then large-star and small-star steps
     alternate over the whole edge table until nothing changes. Every step is written to the
     shared folder; only a count and a sum come to the driver. Nodes without an edge are absent.
+    Once at most FEW_EDGES are left, one task of that bounded size contracts the rest.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     now = save(e.mapInArrow(_stars, "a long, b long"), label)
     seen = None
-    while True:
+    n = now.count()
+    while n > (FEW_EDGES if few is None else few):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: neighbours greater than u go to u's least neighbour
@@ -130,8 +134,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         # a sum of hashes tells whether the edge set is the same as one round before
         now_seen = tuple(new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         drop(now)
-        now = new
+        now, n = new, now_seen[0]
         if now_seen == seen:
-            break
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now_seen
+    now = save(now.coalesce(1).mapInArrow(_stars, "a long, b long"), label)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
