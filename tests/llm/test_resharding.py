@@ -3,6 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from quadloom.llm import resharding as rs
 
 
@@ -32,9 +34,31 @@ def test_edges(spark, table):
     docs = [(1, None), (2, ""), (3, "é" * 50000), (4, "x"), (5, "x"), (6, "y")] + [(i, "hot text") for i in range(10, 60)]
     rows = rs.op8_min_cost_resharding(spark, table("documents", [(d, t, 1) for d, t in docs], "doc_id long, text string, shard int")).collect()
     check(rows, docs)
-    assert rs.reshard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    df = spark.createDataFrame([(1, "a", 9)] * 3, "doc_id long, text string, shard int")
-    assert [r["text"] for r in rs.reshard(df).collect()] == ["a"] * 3
+    assert rs.reshard(rs.write_layout(spark.createDataFrame([], "doc_id long, text string")))[0].count() == 0
+    df = spark.createDataFrame([(1, "a", 9, True)] * 3, "doc_id long, text string, Shard int, `a.b` boolean")
+    assert [tuple(r)[:3] for r in rs.reshard(rs.write_layout(df))[0].collect()] == [(1, "a", True)] * 3
+
+
+def test_only_files_of_moved_blocks_are_rewritten(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 40)) for i in range(6000)], "doc_id long, text string")
+    layout = rs.write_layout(docs)
+    files, moves = rs.reshard(layout)
+    assert sorted(tuple(r) for r in files.select("doc_id", "text").collect()) == sorted(tuple(r) for r in docs.collect())
+    # the flow's cost is what moved, up to whole blocks
+    old = rs.old_shard(layout.blocks, 6)
+    capacity = rs.capacities(layout.sizes, 8)
+    supply = np.bincount(old, weights=layout.sizes, minlength=8).astype(np.int64)
+    cost = 1 - np.eye(6, 8, dtype=np.int64)
+    assert moves.fewest == (rs.min_cost_flow(supply[:6], capacity, cost) * cost).sum()
+    assert moves.fewest - 100 <= moves.moved <= moves.fewest + 100 + layout.sizes.max()
+    load = np.bincount(moves.shard, weights=layout.sizes, minlength=8)
+    assert load.max() - load.min() <= 2
+    # files without a moved block are those of the old layout, and they are most
+    paths = lambda df: {r[0] for r in df.select(F.input_file_name()).distinct().collect()}
+    before, after = paths(layout.files), paths(files)
+    folders = lambda paths: {p.rsplit("/", 1)[0] for p in paths}
+    assert len(folders(before & after)) == moves.files - moves.rewritten
+    assert moves.rewritten <= 0.45 * moves.files
 
 
 @pytest.mark.parametrize("seed", range(10))
