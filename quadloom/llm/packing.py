@@ -12,12 +12,14 @@ them, but for the real sequences in `sequences`.
 Defined results: null text is empty: one piece that holds the end id alone. Rows that repeat
 are separate documents; extra columns are ignored; an empty table gives an empty table. A
 document longer than the capacity is cut; its first piece takes what the whole ones leave over.
+Bytes that aren't UTF-8 are read as U+FFFD.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +53,8 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            # a string column may hold bytes that aren't UTF-8: they are read as U+FFFD
+            texts = [t and t.decode("utf-8", "replace") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for lo, hi in slices([len(t or "") for t in texts]):
                 rows, piece, start, length, crc, kept = [], [], [], [], [], []
                 for i in range(lo, hi):
@@ -155,24 +158,27 @@ def _exchange(a: tuple[int, ...], b: tuple[int, ...], free: int) -> tuple[tuple[
     return tuple(sorted(_without(a, *out) + back)), tuple(sorted(_without(b, *back) + out))
 
 
-def local_search(bins: Bins, rounds: int = 3_000) -> int:
-    """Exchange between underfull patterns, the emptiest giving to fuller ones, while the squared fill rises.
+def local_search(bins: Bins) -> int:
+    """Exchange between underfull patterns, the emptiest first, while the squared fill rises; returns the exchanges made.
 
-    Stops at the lower bound of bins, when no exchange helps, or after `rounds` exchanges (each
-    is one of whole patterns, so the number doesn't follow the rows). Returns the exchanges made.
+    Stops at the lower bound of bins or when no pair of patterns has an exchange that helps: what
+    goes from one bin to the other exceeds the fill that it is behind. The sum of squares rises
+    with every exchange, so this ends. An exchange is one of whole patterns, and a pair that had
+    none isn't looked at again, so the work follows the variety of lengths, not the rows.
     """
     c = bins.capacity
     least = -(-sum(sum(p) * n for p, n in bins.count.items()) // c)
-    made = 0
-    while made < rounds and bins.total() > least:
+    made, barren = 0, set()
+    while bins.total() > least:
         under = sorted((p for p in bins.count if p and sum(p) < c), key=lambda p: (sum(p), p))
         moved = False
         for giver in under:
             for taker in reversed(under):
-                if sum(taker) < sum(giver) or (taker == giver and bins.count[giver] < 2):
+                if (giver, taker) in barren or (taker == giver and bins.count[giver] < 2):
                     continue
                 new = _exchange(giver, taker, c - sum(taker))
-                if new is None:
+                if new is None or sum(giver) - sum(new[0]) <= sum(giver) - sum(taker):
+                    barren.add((giver, taker))
                     continue
                 n = bins.count[giver] // 2 if giver == taker else min(bins.count[giver], bins.count[taker])
                 for old, made_of in ((giver, new[0]), (taker, new[1])):
@@ -187,10 +193,21 @@ def local_search(bins: Bins, rounds: int = 3_000) -> int:
     return made
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Bins:
+@dataclass(frozen=True)
+class Report:
+    """Bins before and after the search, the least number that the lengths' sum allows, and the exchanges made."""
+
+    before: int
+    after: int
+    bound: int
+    exchanges: int
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[Bins, Report]:
     bins = best_fit_decreasing(histogram, capacity)
-    local_search(bins)
-    return bins
+    before = bins.total()
+    made = local_search(bins)
+    return bins, Report(before, bins.total(), -(-sum(k * n for k, n in histogram.items()) // capacity), made)
 
 
 def slots(bins: Bins) -> dict[str, np.ndarray]:
@@ -234,7 +251,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     made = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(tokenizer, capacity, end_id, with_ids), schema)
     made = save(made, "pieces")
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    table = slots(plan(histogram, capacity))
+    table = slots(plan(histogram, capacity)[0])
     ranked = gapless_rank(made, ["length"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], "_rank", "ranked")
     names = [c for c in made.columns]
     return ranked.select(*names, F.col("length").alias("_length"), "_rank").mapInArrow(_place(table), schema + ", sequence_id long, offset long")

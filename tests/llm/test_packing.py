@@ -28,6 +28,14 @@ def test_ids_are_those_of_the_public_tokenizer(bpe, public, documents):
         assert bpe.encode(text) == public.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_every_code_point(bpe, public):
+    points = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(points[i : i + 64]) for i in range(0, len(points), 64)]
+    texts += ["a ".join(points[i : i + 2048 : 16]) for i in range(0, 1 << 16, 2048)] + [" 1" + "  ".join(points[i : i + 2048 : 16]) for i in range(0, 1 << 16, 2048)]
+    for text, want in zip(texts, public.encode_batch(texts, add_special_tokens=False)):
+        assert bpe.encode(text) == want.ids
+
+
 def check(rows, texts, public):
     """Every piece is right, and the sequences are gapless and no fuller than their capacity."""
     by_doc, by_seq = defaultdict(list), defaultdict(list)
@@ -96,3 +104,15 @@ def test_local_search_empties_a_bin():
         bins.add(tuple(sorted(pattern)), 1)
     packing.local_search(bins)
     assert bins.total() == 2
+
+
+def test_local_search_beats_best_fit():
+    """Lengths of real pieces in small: best fit decreasing leaves a bin too many, the search empties it."""
+    worse = 0
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        histogram = {int(k): int(n) for k, n in zip(*np.unique(rng.integers(180, 420, 60), return_counts=True))}
+        bins, report = packing.plan(histogram)
+        assert report.after == bins.total() <= report.before and report.after >= report.bound
+        worse += report.after < report.before
+    assert worse > 0
