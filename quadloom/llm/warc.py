@@ -4,14 +4,17 @@
 `read` parses such files again, checks every digest and gives one index row per record. Each
 reading task sorts its rows: a capture run. `merge` brings the runs into one global order by
 (URL key, timestamp, page_id): key ranges from a bounded sample of the runs are tasks, and each
-merges its part of every run through a loser tree, at most FAN_IN runs at a time (more runs
-are merged in passes). No task holds more than a batch of each run.
+merges its part of every run through a loser tree, at most FAN_IN runs at a time. More runs are
+merged in passes, each one job whose tasks are the groups of runs times the key ranges, so a
+pass has at least as many tasks as ranges. At most MOST_RUNS runs are made: where there are more
+archives, a task reads several and sorts them together. No task holds more than a batch of each run.
 
 A page whose payload equals that of a page with a smaller page_id is a revisit record without
 payload. Defined results: null html is an empty payload; a null URL has no target and key '';
 a null page_id counts as larger than any and its record id is the payload's; rows that repeat
 (same page_id and payload) are written each, and are responses where their id is the smallest;
-extra columns are ignored; an empty table gives an empty table.
+bytes of a payload are kept as they are, those of a URL that aren't UTF-8 are read as U+FFFD; extra
+columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from quadloom.llm._common import save, workspace
 
 FILE_BYTES = 64 << 20
 FAN_IN = 64
+MOST_RUNS = 1 << 14
 SAMPLE = 2048
 LAST = (1 << 63) - 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -40,6 +44,8 @@ SPACE = 0x71756164_6C6F6F6D
 EPOCH = 1_700_000_000
 INDEX = "urlkey string, ts long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 
+NAMES = [x.split()[0] for x in INDEX.split(", ")]
+
 
 def record_id(page_id: int | None, digest: bytes) -> str:
     number = (SPACE << 64) | (page_id & ((1 << 64) - 1)) if page_id is not None else int.from_bytes(digest[:16], "big") & ~(1 << 127)
@@ -100,14 +106,15 @@ def _write(folder: str):
         where, path = _open(folder)
         out, files, size = None, [], 0
         for batch in batches:
-            for page, url, html, ts, first in zip(*(c.to_pylist() for c in batch.columns)):
+            urls = [u and u.decode("utf-8", "replace") for u in batch.column(1).cast(pa.binary()).to_pylist()]
+            for page, url, html, ts, first in zip(batch.column(0).to_pylist(), urls, *(c.to_pylist() for c in batch.columns[2:])):
                 if out is None:
                     name = f"capture-{uuid.uuid4().hex}.warc.gz"
                     files.append(f"{folder}/{name}")
                     out, size = where.open_output_stream(f"{path}/{name}", compression=None), 0
                 revisit = first is not None and first != (LAST if page is None else page)
                 pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-                data = pack.compress(record(page, url, (html or "").encode(), ts, first, revisit)) + pack.flush()
+                data = pack.compress(record(page, url, html or b"", ts, first, revisit)) + pack.flush()
                 out.write(data)
                 size += len(data)
                 if size >= FILE_BYTES:
@@ -128,8 +135,8 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     where, path = _open(folder)
     where.create_dir(path, recursive=True)
     ts = F.coalesce(F.col(seconds).cast("long") if seconds else F.lit(EPOCH) + F.pmod(F.col(key), F.lit(1 << 30)), F.lit(EPOCH))
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), ts.alias("ts"))
-    digest = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).cast("binary").alias("html"), ts.alias("ts"))
+    digest = F.sha1(F.coalesce(F.col("html"), F.lit(b"")))
     firsts = rows.select(digest.alias("d"), F.coalesce("page_id", F.lit(LAST)).alias("ord")).groupBy("d").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
     firsts = save(firsts.where("last > first").select("d", "first"), "firsts")
     rows = rows.withColumn("d", digest).join(firsts, "d", "left").select("page_id", "url", "html", "ts", "first")
@@ -188,7 +195,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(files: DataFrame) -> DataFrame:
     """An index row for each record of the archives; each reading task's rows are a locally sorted run."""
     n = files.count()
-    spread = files.repartition(max(1, n)) if n else files
+    spread = files.repartition(min(n, MOST_RUNS)) if n else files
     return spread.mapInArrow(_read, INDEX)
 
 
@@ -239,22 +246,25 @@ def _stream(uri: str, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
         test = test & (pc.field("urlkey") >= low[0])
     if high is not None:
         test = test & (pc.field("urlkey") <= high[0])
+    if low is not None and high is not None and low[0] == high[0]:  # a part of one hot key's history
+        test = test & (pc.field("ts") >= low[1]) & (pc.field("ts") <= high[1])
     table = ds.dataset(path, filesystem=where, format="parquet")
     for batch in table.scanner(filter=test, batch_size=4096, use_threads=False, batch_readahead=1, fragment_readahead=1).to_batches():
-        for row in zip(*(batch.column(n).to_pylist() for n in table.schema.names)):
+        for row in zip(*(batch.column(n).to_pylist() for n in NAMES)):
             key = (row[0], row[1], LAST if row[2] is None else row[2])
             if (low is None or key >= low) and (high is None or key < high):
                 yield (key, row[7], row[8]), row
 
 
-def _merge(runs: list[str], cuts: list[tuple]) -> Callable:
-    bounds = [None, *cuts, None]
+def _merge(plan, bounds: list) -> Callable:
+    """Over task numbers: merge the runs plan.value[task] = (files, range) within bounds[range : range + 2]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batch.column(0).to_pylist():
+            for task in batch.column(0).to_pylist():
+                files, part = plan.value[task]
                 rows = []
-                for _, row in LoserTree([_stream(u, bounds[part], bounds[part + 1]) for u in runs]):
+                for _, row in LoserTree([_stream(u, bounds[part], bounds[part + 1]) for u in files]):
                     rows.append((part, *row))
                     if len(rows) == 4096:
                         yield _rows(rows)
@@ -279,16 +289,23 @@ def merge(index: DataFrame, parts: int | None = None, fan_in: int = FAN_IN) -> D
     # a sample of fixed size tells where to cut
     sample = sorted((r["urlkey"], r["ts"], LAST if r["page_id"] is None else r["page_id"]) for r in runs.orderBy(F.xxhash64("page_id", "urlkey", "offset")).limit(SAMPLE).select("urlkey", "ts", "page_id").collect())
     cuts = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
-    schema = "part long, " + INDEX
-    n = len(cuts) + 1
-    files = sorted(runs.inputFiles())
-    while len(files) > fan_in:  # merge groups of runs to longer runs first
-        longer = []
-        for i in range(0, len(files), fan_in):
-            merged = save(spark.range(0, 1, 1, 1).mapInArrow(_merge(files[i : i + fan_in], []), schema).drop("part"), "runs")
-            longer += merged.inputFiles()
-        files = sorted(longer)
-    return spark.range(0, n, 1, n).mapInArrow(_merge(files, cuts), schema)
+    schema, bounds = "part long, " + INDEX, [None, *cuts, None]
+    n = len(bounds) - 1
+    # which files hold the rows of each range, in groups of at most fan_in; at first every run may hold any
+    files = [sorted(runs.inputFiles())] * n
+
+    def pass_over(groups: list[tuple[list[str], int]]) -> DataFrame:
+        plan = spark.sparkContext.broadcast(groups)  # paths of at most MOST_RUNS runs
+        return spark.range(0, len(groups), 1, max(1, len(groups))).mapInArrow(_merge(plan, bounds), schema)
+
+    while max(map(len, files)) > fan_in:
+        groups = [(own[i : i + fan_in], part) for part, own in enumerate(files) for i in range(0, len(own), fan_in)]
+        longer: list[list[str]] = [[] for _ in range(n)]
+        for path in save(pass_over(groups), "runs").inputFiles():
+            # a task writes one file at most, and the file's name tells the task
+            longer[groups[int(path.rpartition("/")[2].split("-")[1])][1]].append(path)
+        files = [sorted(own) for own in longer]
+    return pass_over([(own, part) for part, own in enumerate(files)])
 
 
 def op3_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
