@@ -13,7 +13,11 @@ meet in a task: shards are n / SHARD_ROWS in number, 1e5 for ten billion documen
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its own;
 rows that repeat are separate documents; with no words at all, every target is 0; an empty
-table gives an empty table; extra columns are passed on, those named like a result replaced.
+table gives an empty table. `mix` passes extra columns on, but its results replace those of
+their names (in any case of letters); `mixed_texts` returns all columns of docs as they are.
+
+The method's choice of blocks is by place: a shard's blocks are BLOCK words each along its seeded
+order, and the quota takes them from the start, so a document may be taken in part.
 """
 
 from __future__ import annotations
@@ -99,13 +103,15 @@ def _plan_shards(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["source", "shard", "shard_size", "source_size", "target", "quota"]]
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target and taken (words of the document that the mix takes, repeats counted)."""
-    made = ["size", "source_size", "target", "taken"]
-    own = [c for c in docs.columns if c not in made]
-    sized = docs.withColumn("_size", word_count(F.col(text)) if size is None else size).select(*own, "_size")
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _mixed(docs: DataFrame, key: str, source: str, text: str, size: Column | None, seed: int) -> DataFrame:
+    """(row, size, source_size, target, taken): row is the whole row of docs, so no name of its columns matters."""
+    sized = docs.select(F.struct(*[_column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), _column(key).alias("k"), _column(source).alias("source"), (word_count(_column(text)) if size is None else size).alias("size"))
     # the small table that the plan is made of is written once: the texts aren't counted again
-    per_doc = save(sized.select(F.col(key).alias("k"), F.col(source).alias("source"), F.col("_size").alias("size")), "sizes")
+    per_doc = save(sized.select("k", "source", "size"), "sizes")
     totals = per_doc.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     shards_of = F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("n") / SHARD_ROWS), F.lit(1)).cast("long")
     totals = save(totals.withColumn("shards", shards_of), "sources")
@@ -126,27 +132,36 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
     # a document's shard needs its source's shard count; both tables are one row per source or shard
     c = counts.select(F.col("_s"), F.col("shards").alias("_shards"))
-    rows = sized.join(c, F.col(source).eqNullSafe(F.col("_s"))).drop("_s").withColumn("_shard", at(F.col(key), F.col("_shards")))
+    rows = sized.join(c, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_shard", at(F.col("k"), F.col("_shards")))
     q = quotas.select(F.col("source").alias("_qs"), F.col("shard").alias("_qshard"), F.col("shard_size").alias("_z"), F.col("source_size").alias("_ss"), F.col("target").alias("_t"), F.col("quota").alias("_q"))
-    rows = rows.join(q, F.col(source).eqNullSafe(F.col("_qs")) & (F.col("_shard") == F.col("_qshard")))
-    order = Window.partitionBy(source, "_shard").orderBy(F.xxhash64(F.col(key), F.lit(seed + 1)), key, "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("_size").over(order), F.lit(0)))
+    rows = rows.join(q, F.col("source").eqNullSafe(F.col("_qs")) & (F.col("_shard") == F.col("_qshard")))
+    order = Window.partitionBy("source", "_shard").orderBy(F.xxhash64("k", F.lit(seed + 1)), "k", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     z = F.greatest(F.col("_z"), F.lit(1))
     passes = F.expr("_q div greatest(_z, 1)")
     rest = F.col("_q") - passes * z
-    taken = passes * F.col("_size") + F.greatest(F.least(rest - F.col("_before"), F.col("_size")), F.lit(0))
-    return rows.select(*own, F.col("_size").alias("size"), F.col("_ss").alias("source_size"), F.col("_t").alias("target"), taken.cast("long").alias("taken"))
+    taken = passes * F.col("size") + F.greatest(F.least(rest - F.col("_before"), F.col("size")), F.lit(0))
+    return rows.select("row", "size", F.col("_ss").alias("source_size"), F.col("_t").alias("target"), taken.cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None, seed: int = SEED) -> DataFrame:
+    """docs with size, source_size, target and taken (words of the document that the mix takes, repeats counted)."""
+    made = ["size", "source_size", "target", "taken"]
+    own = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in made]
+    return _mixed(docs, key, source, text, size, seed).select(*own, *made)
 
 
 def mixed_texts(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
     """The mix itself, in the columns of docs: a document taken twice is two rows, and a part is its first words."""
-    rows = mix(docs, key, source, text, seed=seed)
+    rows = _mixed(docs, key, source, text, None, seed)
     copies = rows.withColumn("_full", F.expr("case when size > 0 then taken div size else 0L end")).withColumn("_rest", F.expr("case when size > 0 then taken % size else 0L end"))
     whole = F.transform(F.sequence(F.lit(1), F.col("_full").cast("int")), lambda _: F.lit(0).cast("long"))
     each = F.concat(F.when(F.col("_full") > 0, whole).otherwise(F.expr("cast(array() as array<bigint>)")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.expr("cast(array() as array<bigint>)")))
     rows = copies.withColumn("_part", F.explode(each))
-    part = F.array_join(F.slice(F.array_remove(F.split(F.col(text), "[ \\t-\\r]+"), ""), 1, F.col("_part").cast("int")), " ")
-    return rows.withColumn(text, F.when(F.col("_part") == 0, F.col(text)).otherwise(part)).select(*docs.columns)
+    own = {c: F.col(f"row.c{i}") for i, c in enumerate(docs.columns)}
+    part = F.array_join(F.slice(F.array_remove(F.split(own[text], "[ \\t-\\r]+"), ""), 1, F.col("_part").cast("int")), " ")
+    own[text] = F.when(F.col("_part") == 0, own[text]).otherwise(part)
+    return rows.select(*[v.alias(c) for c, v in own.items()])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

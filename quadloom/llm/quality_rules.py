@@ -4,9 +4,9 @@ Every measure is a Spark expression over the whole text; the verdict is one bool
 the table. Nothing is shuffled: each row is judged by itself.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept; rows
-that repeat are judged alike; columns of the input that share a name with a measure are
-replaced by the measure in `judge` (the query selects its own columns); an empty table gives
-an empty table.
+that repeat are judged alike; columns of the input that share a name with a result (in any case
+of letters) are replaced by it in `judge`, all others and all in `passing` stay as they are; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -126,22 +126,27 @@ def compiled(table: tuple[Threshold, ...]) -> Column:
     return verdict
 
 
+def _judged(docs: DataFrame, text: str, table: tuple[Threshold, ...]) -> DataFrame:
+    """(row, counts, ratios, base_failed, kept): row is the whole row of docs, so no name of its columns matters."""
+    column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    out = docs.select(F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), column(text).alias("text"))
+    out = out.withColumn("_words", word_list(F.col("text"))).withColumn("_windows", window_hashes(F.col("_words")))
+    out = out.withColumns(measures(F.col("text"))).withColumns(ratios())
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    out = out.withColumn("base_failed", failed)
+    return out.withColumn("kept", ~F.col("base_failed") & compiled(table))
+
+
 def judge(docs: DataFrame, text: str = "text", table: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
     """Add the base counts, the ratios, base_failed and kept to every row of docs."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *ratios(), "base_failed", "kept"]
-    rest = [c for c in docs.columns if c not in made or c == text]
-    out = docs.select(*rest).withColumn("_words", word_list(F.col(text))).withColumn("_windows", window_hashes(F.col("_words")))
-    out = out.withColumns(measures(F.col(text))).withColumns(ratios())
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
-    out = out.withColumn("kept", ~F.col("base_failed") & compiled(table))
-    return out.select(*rest, *[c for c in made if c not in rest])
+    own = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in made]
+    return _judged(docs, text, table).select(*own, *made)
 
 
 def passing(docs: DataFrame, text: str = "text", table: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
     """The rows of docs that the rules keep, with their own columns, also where a name is that of a measure."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
-    return judge(own, "_text", table).where("kept").select("_row.*")
+    return _judged(docs, text, table).where("kept").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

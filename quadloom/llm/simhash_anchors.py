@@ -237,10 +237,14 @@ def one_each(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str
     stays = stays.select(F.coalesce("doc_id", last).alias("_ord"), F.col("component_id").alias("_c"), F.col("fp").alias("_fp"), F.col("tag").alias("_tag"))
     # of rows that share the smallest doc_id, one; of components without any doc_id, one per fingerprint
     stays = stays.groupBy("_ord", F.when(F.col("_c").isNull(), F.col("_fp")).alias("_g")).agg(F.min("_tag").alias("_tag")).select("_ord", "_tag").distinct()
-    rows = docs.withColumns({"_ord": F.coalesce(F.col(key).cast("long"), last), "_tag": F.xxhash64(text)})
-    rows = rows.join(stays.hint("shuffle_hash"), ["_ord", "_tag"], "left_semi")
+    # the row goes as a whole, so no name of its columns matters
+    column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    whole = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    rows = docs.select(whole.alias("_row"), F.coalesce(column(key).cast("long"), last).alias("_ord"), F.xxhash64(column(text)).alias("_tag"))
+    rows = rows.join(stays, ["_ord", "_tag"], "left_semi")
     again = Window.partitionBy("_ord", "_tag").orderBy(F.lit(0))
-    return rows.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*docs.columns)
+    rows = rows.withColumn("_n", F.row_number().over(again)).where("_n = 1")
+    return rows.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:

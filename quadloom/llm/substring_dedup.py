@@ -17,8 +17,8 @@ before the shuffle, and the join against the counts is split by AQE where a wind
 
 Defined results: a null text has no words; texts of fewer words than a window keep all; rows
 that share a doc_id never remove from each other unless a smaller doc_id has the window; a
-null doc_id counts as larger than any; extra columns are passed on; an empty table gives an
-empty table.
+null doc_id counts as larger than any; extra columns are passed on, in `substring_dedup` without
+those named like a result, in `without_repeats` all of them; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quadloom.llm._common import save
 from quadloom.llm._hashing import Words, slices, spans
@@ -144,7 +145,7 @@ def _cut(window: int, n_rest: int, text_at: int, digest: bool):
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(ord, marks): for each doc_id that loses words, per word sequence the starts of repeated windows, or `whole`."""
-    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ord"), F.col(text).alias("text"))
+    source = docs.select(F.coalesce(_column(key).cast("long"), F.lit(LAST)).alias("ord"), _column(text).alias("text"))
     sketch = save(source.mapInArrow(_sketch(window, gram), "ord long, n_words long, d1 long, d2 long, anchors array<long>"), "sketch").where(F.col("n_words") >= window)
     classes = sketch.groupBy("d1", "d2").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.first("anchors").alias("anchors"))
     classes = save(classes, "classes")
@@ -173,16 +174,33 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     A text that loses nothing stays as it is; one that loses words is the kept words joined by one space.
     """
-    marks = removals(docs, key, text, window, gram)
     result = "kept_sha256" if digest else text
-    rest = [c for c in docs.columns if c not in (text, "n_words", "n_removed", result)]
-    named = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.col(text).alias("_text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("_ord"))
+    made = [result.lower(), "n_words", "n_removed"]
+    rest = [c for c in docs.columns if c != text and c.lower() not in made]
+    out = _without(docs, rest, key, text, window, gram, digest).toDF(*rest, result, "n_words", "n_removed")
+    return out.select(*[_column(c) for c in docs.columns if c in out.columns], *[_column(c) for c in out.columns if c not in docs.columns])
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs, in its own columns, with the text without repeated windows; rows of which nothing is left go."""
+    rest = [c for c in docs.columns if c != text]
+    out = _without(docs, rest, key, text, window, gram, False)
+    at = {c: f"c{i}" for i, c in enumerate([*rest, text])}
+    n = len(rest)
+    return out.where((F.col(f"c{n + 2}") == 0) | (F.col(f"c{n + 2}") < F.col(f"c{n + 1}"))).select(*[F.col(at[c]).alias(c) for c in docs.columns])
+
+
+def _column(name: str):
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _without(docs: DataFrame, rest: list[str], key: str, text: str, window: int, gram: int, digest: bool) -> DataFrame:
+    """c0, c1, ...: the columns of `rest`, the kept text or its digest, n_words, n_removed."""
+    marks = removals(docs, key, text, window, gram)
+    named = docs.select(*[_column(c).alias(f"c{i}") for i, c in enumerate(rest)], _column(text).alias("_text"), F.coalesce(_column(key).cast("long"), F.lit(LAST)).alias("_ord"))
     joined = named.join(marks.withColumnRenamed("ord", "_ord").hint("shuffle_hash"), "_ord", "left").select(*[f"c{i}" for i in range(len(rest))], "_text", "_marks")
-    schema = ", ".join([*[f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest)], f"c{len(rest)} string, c{len(rest) + 1} long, c{len(rest) + 2} long"])
-    out = joined.mapInArrow(_cut(window, len(rest), len(rest), digest), schema)
-    names = [*rest, result, "n_words", "n_removed"]
-    out = out.toDF(*names)
-    return out.select(*[c for c in docs.columns if c in names], *[c for c in names if c not in docs.columns])
+    kinds = [*[docs.schema[c].dataType for c in rest], StringType(), LongType(), LongType()]
+    return joined.mapInArrow(_cut(window, len(rest), len(rest), digest), StructType([StructField(f"c{i}", k) for i, k in enumerate(kinds)]))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,6 @@ STEP = 32
 #: Contents merged at a time: 16 bits then number all 8-byte characters.
 BATCH_BYTES = 56 << 10
 MOST_CONTENTS = 4096
-LAST = (1 << 63) - 1
 PLACE = (1 << 28) - 1
 
 
@@ -231,7 +230,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row; kept is the remaining bytes, or with digest kept_sha256."""
     if step > 63 or step + gram > width:
         raise ValueError("a group's core must hold an anchor")
-    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ord"), F.col(text).alias("text"))
+    source = docs.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("ord"), F.col(text).alias("text"))
     sketch = save(source.mapInArrow(_sketch(width, gram), "ord long, n long, d1 long, d2 long, anchors array<long>"), "sketch").where(F.col("n") >= width)
     classes = sketch.groupBy("d1", "d2").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors"))
     classes = save(classes, "classes")
@@ -271,7 +270,7 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     partly = marks.join(names.withColumnsRenamed({"least": "ord", "twin": "t"}), "ord").where("twin = t").select("ord", "d1", "d2", F.lit(False).alias("whole"), "spans")
     whole = copies.select("ord", "d1", "d2", F.lit(True).alias("whole"), F.expr("cast(array() as array<struct<lo: int, hi: int>>)").alias("spans"))
     marks = save(partly.union(whole).groupBy("ord").agg(F.collect_list(F.struct("d1", "d2", "whole", "spans")).alias("marks")), "marks")
-    joined = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ord")).join(marks.hint("shuffle_hash"), "ord", "left").select("doc_id", "text", "marks")
+    joined = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("ord")).join(marks.hint("shuffle_hash"), "ord", "left").select("doc_id", "text", "marks")
     kind = docs.schema[key].dataType.simpleString()
     out = joined.mapInArrow(_cut(width, digest), f"c0 {kind}, c1 long, c2 long, c3 long, c4 {'string' if digest else 'binary'}")
     return out.toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept")

@@ -58,6 +58,11 @@ def test_edges(spark, table):
     assert mixing.mix(df.limit(0)).count() == 0
     extra = df.selectExpr("*", "1 as size", "2 as shard", "'z' as target")
     assert set(mixing.mix(extra).columns) == {"doc_id", "text", "source", "size", "shard", "source_size", "target", "taken"}
+    odd = df.selectExpr("*", "7 as size", "8 as _size", "9 as _shard", "'z' as Target", "1 as `a.b`", "2 as k")
+    mixed = mixing.mixed_texts(odd)
+    assert mixed.columns == odd.columns
+    assert {tuple(r)[3:] for r in mixed.collect()} == {(7, 8, 9, "z", 1, 2)}
+    assert {r["doc_id"]: r["_size"] for r in mixing.mix(odd).collect()} == {d: 8 for d, _, _ in docs}
     texts = mixing.mixed_texts(df).collect()
     words = {}
     for r in texts:

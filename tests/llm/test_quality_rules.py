@@ -39,6 +39,10 @@ def test_edges(spark, table):
     df = spark.createDataFrame([(1, PROSE, True), (2, "no", True)], "doc_id long, text string, kept boolean")
     assert [tuple(r) for r in q.passing(df).collect()] == [(1, PROSE, True)]
     assert q.judge(df.limit(0)).count() == 0
+    odd = df.selectExpr("doc_id", "text", "7 as _stop", "8 as _words", "9 as N_words", "1 as `a.b`", "2 as row")
+    assert [tuple(r) for r in q.passing(odd).collect()] == [(1, PROSE, 7, 8, 9, 1, 2)]
+    judged = q.judge(odd)
+    assert "N_words" not in judged.columns and {r["_stop"] for r in judged.collect()} == {7}
 
 
 def test_plan_has_no_python_and_no_shuffle(spark):

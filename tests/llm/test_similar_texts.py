@@ -69,3 +69,10 @@ def test_dense_group_that_fingerprints_do_not_link(spark):
 def test_small_tables(spark, documents):
     want = check(spark, {d: t for d, t, _ in documents})
     assert want[145] == 6 and want[177] == 1  # 7 and 11 of 64 bits apart
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c d e f", 7, 8, 9, 1), (2, "a b c d e f", 7, 8, 9, 1), (3, "other words here", 7, 8, 9, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _ord int, _tag int, _n int, `a.b` int")
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]

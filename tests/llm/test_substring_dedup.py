@@ -50,6 +50,10 @@ def test_edges(spark, table):
     assert run(spark, table("documents", [(d, t, 1) for d, t in texts], SCHEMA)) == slow(texts)
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert sd.substring_dedup(df.limit(0)).count() == 0
+    odd = df.where("doc_id in (3, 4, 12)").selectExpr("5 as n_words", "doc_id", "6 as n_removed", "text", "7 as _marks", "8 as `a.b`", "9 as c0")
+    left = sd.without_repeats(odd)
+    assert left.columns == odd.columns and {(r["n_words"], r["n_removed"], r["_marks"], r["a.b"], r["c0"]) for r in left.collect()} == {(5, 6, 7, 8, 9)}
+    assert [r["text"] for r in left.where("doc_id = 4").collect()] == ["a b c d"]
     kept = {(r["doc_id"], r["n_removed"]): r["text"] for r in sd.substring_dedup(df.where("doc_id in (3, 4)")).collect()}
     assert kept[4, 60] == "a b c d"
 
