@@ -1,20 +1,23 @@
 """Embedding near-dedup by NN-descent.
 
-1. Equal vectors are one class; only classes go on.
-2. The graph starts from TREES random-projection trees: classes in the order of their sides of
-   random hyperplanes meet their neighbours in overlapping blocks of fixed size. A hot leaf is
-   just more blocks.
-3. NN-descent: each round, the neighbours of a class meet each other (neighbours of
-   neighbours), and better ones enter the lists. Lists hold the nearest whatever their cosine,
-   so that a vector without near neighbours goes on searching. A saturated list (all its entries are links) is
-   doubled up to MOST_NEIGHBOURS; rounds end when no list changes. Classes whose list is saturated
-   at that length are compared with all classes of other components, block by block.
-4. Links (cosine >= threshold in double precision) give components. What a list can't hold is
-   counted exactly: links join members of one component only, so each component is compared
-   block by block, as sums per class; no pairs are written.
-5. Audit: up to AUDIT classes, chosen by hash, of each stratum (no component, a small one, a
+1. Equal vectors are one class; only classes go on, as directions of 16-bit numbers. What such
+   numbers can't decide (a cosine within their error of the threshold) is decided in double precision.
+2. The graph starts poor: TREES random-projection trees order the classes, and each meets its
+   neighbours in overlapping blocks of fixed size. A hot leaf is just more blocks.
+3. NN-descent: each round, the neighbours of a class, and some of those whose neighbour it is,
+   meet each other if one of them is new there; what is nearer than the last of a list enters
+   it. Lists hold the nearest whatever their cosine, so that a vector without near ones goes on
+   searching. A saturated list (all its entries are links) is doubled up to MOST_NEIGHBOURS and
+   counts as new. Rounds end when one finds no link, enlarges no list and changes less than
+   QUIET of all entries.
+4. Links (cosine >= threshold) give components. A link between two lists saturated at the
+   greatest length may be cut from both: where such lists lie in different components, their
+   classes are compared with each other, block by block.
+5. n_links is exact in components of one block; in larger ones it is what a list holds, unless the
+   list is saturated: then the class is compared with its whole component, block by block.
+6. Audit: up to AUDIT classes, chosen by hash, of each stratum (no component, a small one, a
    large one) are compared with all rows. While the mean recall of a stratum's classes that
-   have links is below RECALL, more trees are added and the rounds repeat.
+   have links is below RECALL, more trees are added and the rounds go on.
 
 Defined results: null, zero and non-finite vectors and those whose length isn't the table's
 greatest link with nothing; equal vectors link (cosine 1); rows that repeat count each other;
@@ -32,19 +35,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadloom.llm._common import components, save
+from quadloom.llm._common import components, drop, save
 
 THRESHOLD = 0.95
-TREES = 8
+TREES = 2
 BITS = 40
-BLOCK = 256
-NEIGHBOURS = 16
+BLOCK = 64
+NEIGHBOURS = 12
+REVERSE = 12
 MOST_NEIGHBOURS = 128
+QUIET = 0.03
 AUDIT = 512
 #: classes of a component that the audit takes as small
 SMALL = 16
 RECALL = 0.98
-COUNT_BLOCK = 512
+#: classes that a task compares with as many others; and the rows of a product at once
+COUNT_BLOCK = 4096
+ROWS = 512
 
 
 def unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -53,25 +60,50 @@ def unit(column: pa.Array, dim: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _code(dim: int):
+    """(cid, v) -> (cid, q): directions as 16-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = unit(batch.column(1), dim)
+            q = np.rint(u * (32767 / np.abs(u).max(axis=1, keepdims=True, initial=1e-9))).astype("<i2")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in q], pa.binary())], ["cid", "q"])
+
+    return run
+
+
+def decoded(column: pa.Array, dim: int) -> np.ndarray:
+    u = np.frombuffer(b"".join(column.to_pylist()), dtype="<i2").reshape(-1, dim).astype(np.float64)
+    return u / np.sqrt((u * u).sum(axis=1, keepdims=True))
+
+
+def band(dim: int) -> float:
+    """More than a cosine of coded directions can be wrong: each is off by half a step in every component."""
+    return 2.5 * np.sqrt(dim) / 65534
+
+
 def _signatures(dim: int, seeds: list[int]):
-    """(cid, v) -> (tree, sig, cid, v): the sides of BITS hyperplanes of each tree as one number."""
+    """(cid, q) -> (tree, sig, cid, q): the sides of BITS hyperplanes of each tree as one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = [np.random.default_rng(s).standard_normal((dim, BITS)) for s in seeds]
         for batch in batches:
-            u = unit(batch.column(1), dim)
+            u = decoded(batch.column(1), dim)
             for s, p in zip(seeds, planes):
                 sig = ((u @ p > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), s)), pa.array(sig), *batch.columns], ["tree", "sig", "cid", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), s)), pa.array(sig), *batch.columns], ["tree", "sig", "cid", "q"])
 
     return run
 
 
 def _top(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
-    """Rows that are among the k best of their a."""
-    order = np.lexsort((b, -s, a))
-    first = np.concatenate([[True], a[order][1:] != a[order][:-1]])
-    place = np.arange(len(a)) - np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+    """Rows that are among the k best of their a, each b once."""
+    order = np.lexsort((-s, b, a))
+    again = np.concatenate([[False], (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])]) if len(a) else np.zeros(0, bool)
+    order = order[~again]
+    order = order[np.lexsort((b[order], -s[order], a[order]))]
+    first = np.concatenate([[True], a[order][1:] != a[order][:-1]]) if len(order) else np.zeros(0, bool)
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else order
     return order[place < k]
 
 
@@ -80,19 +112,19 @@ def _edges(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
 
 
 def _blocks(dim: int, k: int):
-    """Over rows in order: overlapping blocks; each class's k best of its block."""
+    """Over (cid, q) in order: overlapping blocks; each class's k best of its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vecs, last = np.zeros(0, np.int64), np.zeros((0, dim)), False
+        ids, vecs = np.zeros(0, np.int64), np.zeros((0, dim))
 
         def work(i, u):
             sim = u @ u.T
             a, b = np.nonzero(i[:, None] != i[None, :])
-            keep = _top(a, b, sim[a, b], k) if len(a) else a
+            keep = _top(a, b, sim[a, b], k)
             return _edges(i[a[keep]], i[b[keep]], sim[a[keep], b[keep]])
 
         for batch in batches:
-            ids, vecs = np.append(ids, np.asarray(batch.column(0))), np.vstack([vecs, unit(batch.column(1), dim)])
+            ids, vecs = np.append(ids, np.asarray(batch.column(0))), np.vstack([vecs, decoded(batch.column(1), dim)])
             while len(ids) >= BLOCK:
                 yield work(ids[:BLOCK], vecs[:BLOCK])
                 ids, vecs = ids[BLOCK // 2 :], vecs[BLOCK // 2 :]
@@ -102,60 +134,110 @@ def _blocks(dim: int, k: int):
     return run
 
 
+def _groups(held: tuple | None, now: tuple) -> tuple[tuple, tuple | None]:
+    """(rows of whole groups, rows of the group that may go on) of sorted rows whose first array is the key."""
+    rows = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
+    edge = np.flatnonzero(rows[0][1:] != rows[0][:-1])
+    cut = int(edge[-1]) + 1 if len(edge) else 0
+    return tuple(x[:cut] for x in rows), tuple(x[cut:] for x in rows)
+
+
 def _join_locally(dim: int):
-    """Over (a, k, b, v) sorted by a: the neighbours b of one a meet; the k best of each are candidates."""
+    """Over (a, b, fresh, q, k, worst) sorted by a: those b that meet at one a, one of them fresh, and are nearer than the worst of a list."""
+
+    def work(rows):
+        a, b, fresh, u, k, worst = rows
+        edge = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
+        sizes = np.diff(edge)
+        by_size = np.argsort(sizes, kind="stable")  # groups of like size are compared together
+        at = 0
+        while at < len(by_size):
+            few = max(1, (1 << 18) // int(sizes[by_size[min(at + 511, len(by_size) - 1)]]) ** 2)
+            some = by_size[at : at + min(512, few)]
+            at += len(some)
+            m = int(sizes[some].max())
+            pos = edge[:-1][some][:, None] + np.arange(m)
+            there = np.arange(m) < sizes[some][:, None]
+            pos = np.where(there, pos, 0)
+            w = u[pos]
+            sim = w @ w.transpose(0, 2, 1)
+            new, ids = fresh[pos], b[pos]
+            ok = there[:, :, None] & there[:, None, :] & (new[:, :, None] | new[:, None, :]) & (ids[:, :, None] != ids[:, None, :]) & (sim > worst[pos][:, :, None])
+            g, i, j = np.nonzero(ok)
+            x, y, s, n = ids[g, i], ids[g, j], sim[g, i, j], k[pos][g, i]
+            keep = _top(x, y, s, int(n.max(initial=1)))
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(y[keep]), pa.array(s[keep]), pa.array(n[keep])], ["a", "b", "s", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = (np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(2)), unit(batch.column(3), dim))
-            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            edge = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
-            if len(edge):
-                yield from work(tuple(x[: edge[-1]] for x in held))
-                held = tuple(x[edge[-1] :] for x in held)
+            if batch.num_rows:
+                c = [np.asarray(batch.column(i)) for i in (0, 1, 2, 4, 5)]
+                whole, held = _groups(held, (*c[:3], decoded(batch.column(3), dim), *c[3:]))
+                if len(whole[0]):
+                    yield from work(whole)
         if held is not None and len(held[0]):
             yield from work(held)
 
-    def work(rows):
-        a, k, b, u = rows
-        edge = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
-        for lo, hi in zip(edge[:-1], edge[1:]):
-            if hi - lo > 1:
-                sim = u[lo:hi] @ u[lo:hi].T
-                i, j = np.nonzero(~np.eye(hi - lo, dtype=bool))
-                keep = _top(i, j, sim[i, j], int(k[lo]))
-                yield _edges(b[lo:hi][i[keep]], b[lo:hi][j[keep]], sim[i[keep], j[keep]])
-
     return run
 
 
-def _grow(graph: DataFrame, lists: DataFrame) -> DataFrame:
-    """(a, b, s) kept to each class's list length; lists: (a, k) where it isn't NEIGHBOURS."""
-    best = graph.groupBy("a", "b").agg(F.max("s").alias("s"))
-    got = best.groupBy("a").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("n"), "b"))).alias("x")).join(lists, "a", "left")
-    k = F.coalesce("k", F.lit(NEIGHBOURS))
-    return got.select("a", F.explode(F.slice("x", 1, k)).alias("x")).select("a", "x.b", (-F.col("x.n")).alias("s"))
-
-
-def _descend(base: DataFrame, graph: DataFrame, lists: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Rounds of neighbours of neighbours until no list changes."""
-    graph = save(_grow(graph.union(graph.select("b", "a", "s")), lists), "graph")
-    same = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-    seen = tuple(graph.agg(*same).first())
-    while True:  # lists only get better, so this ends
-        full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least")).join(lists, "a", "left")
-        k = F.coalesce("k", F.lit(NEIGHBOURS))
-        longer = full.select("a", F.when((F.col("n") >= k) & (F.col("least") >= threshold), F.least(2 * k, F.lit(MOST_NEIGHBOURS))).otherwise(k).alias("k"))
-        lists = save(longer, "lists")
-        meet = graph.join(lists, "a").join(base.select(F.col("cid").alias("b"), "v"), "b").select("a", "k", "b", "v")
-        found = meet.repartition("a").sortWithinPartitions("a").mapInArrow(_join_locally(dim), "a long, b long, s double")
-        graph = save(_grow(graph.union(graph.select("b", "a", "s")).union(found), lists), "graph")
-        now = tuple(graph.agg(*same).first())
-        if now == seen:
-            break
-        seen = now
-    return graph, lists
+def _lists(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, s, fresh, k, grown): rows (a, b, s, old, k) cut to each class's list; a list full of links is doubled."""
+    best = rows.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("old").alias("old"), F.max("k").alias("k"))
+    own = best.groupBy("a").agg(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("n"), "b", "old"))).alias("x"), F.max("k").alias("k"))
+    own = own.withColumn("x", F.slice("x", 1, F.col("k")))
+    full = (F.size("x") >= F.col("k")) & (-F.element_at("x", -1)["n"] >= threshold)
+    own = own.withColumn("grown", full & (F.col("k") < MOST_NEIGHBOURS))
+    own = own.withColumn("k", F.when(F.col("grown"), F.least(2 * F.col("k"), F.lit(MOST_NEIGHBOURS))).otherwise(F.col("k")))
+    out = own.select("a", "k", "grown", F.explode("x").alias("x"))
+    return out.select("a", "x.b", (-F.col("x.n")).alias("s"), (~F.col("x.old") | F.col("grown")).alias("fresh"), "k", "grown")
+
+
+def _round(graph: DataFrame, coded: DataFrame, dim: int, threshold: float, number: int) -> DataFrame:
+    """Neighbours of neighbours: the graph after one more round."""
+    full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least"), F.max("k").alias("k"))
+    state = coded.join(full, coded["cid"] == full["a"], "left").select(F.col("cid").alias("b"), "q", F.coalesce("k", F.lit(NEIGHBOURS)).alias("k"), F.when(F.col("n") >= F.col("k"), F.col("least")).otherwise(-2.0).alias("worst"))
+    # of those that have a class in their list, one per bucket of a hash that changes with the round
+    other = graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh", F.xxhash64("a", "b", F.lit(number)).alias("h"))
+    other = other.groupBy("a", F.pmod("h", F.lit(REVERSE)).alias("bucket")).agg(F.min(F.struct("h", "b", "fresh")).alias("x")).select("a", "x.b", "x.fresh")
+    entries = graph.select("a", "b", "fresh").union(other)
+    active = entries.where("fresh").select("a").distinct()
+    meet = entries.join(active, "a", "left_semi").join(state, "b").select("a", "b", "fresh", "q", "k", "worst")
+    found = meet.repartition("a").sortWithinPartitions("a").mapInArrow(_join_locally(dim), "a long, b long, s double, k int")
+    rows = graph.select("a", "b", "s", F.lit(True).alias("old"), "k").union(found.select("a", "b", "s", F.lit(False).alias("old"), "k"))
+    return _lists(rows, threshold)
+
+
+def descend(coded: DataFrame, graph: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, list[int]]:
+    """Rounds until one changes next to nothing; the graph, and the links that it held before and after each round."""
+    low = threshold - band(dim)
+    graph = save(graph, "graph")
+    links: list[int] = []
+    for number in itertools.count():
+        n, fresh, held, new, grown = graph.agg(F.count(F.lit(1)), *[F.count(F.when(c, 1)) for c in (F.col("fresh"), F.col("s") >= low, F.col("fresh") & (F.col("s") >= low), F.col("grown"))]).first()
+        links.append(held)
+        if number and not new and not grown and fresh <= QUIET * n or not n:
+            return graph, links
+        after = save(_round(graph, coded, dim, threshold, number), "graph")
+        drop(graph)
+        graph = after
+
+
+def true_links(graph: DataFrame, base: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(a, b), a < b, of the graph's edges whose cosine is at least the threshold; the doubtful ones in double precision."""
+    edges = graph.where(F.col("s") >= threshold - band(dim)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.max("s").alias("s"))
+    edges = save(edges, "edges")
+    sure = F.col("s") >= threshold + band(dim)
+    one, other = [base.select(F.col("cid").alias(k), F.col("v").alias(f"v{k}")) for k in ("a", "b")]
+    doubt = edges.where(~sure).join(one, "a").join(other, "b").select("a", "b", "va", "vb")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            link = pa.array((unit(batch.column(2), dim) * unit(batch.column(3), dim)).sum(axis=1) >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(link), batch.column(1).filter(link)], ["a", "b"])
+
+    return save(edges.where(sure).select("a", "b").union(doubt.mapInArrow(decide, "a long, b long")), "links")
 
 
 def _across(dim: int, threshold: float):
@@ -190,72 +272,76 @@ def _across(dim: int, threshold: float):
     return run
 
 
-def cut_links(base: DataFrame, graph: DataFrame, roots: DataFrame, dim: int, threshold: float) -> DataFrame | None:
-    """Edges (a, b) between components that lists at their greatest length may have cut; None if no list is that long."""
-    full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least")).where((F.col("n") >= MOST_NEIGHBOURS) & (F.col("least") >= threshold))
-    full = save(full.select(F.col("a").alias("cid")), "saturated")
-    n_full = full.count()
-    if not n_full:
+def saturated(graph: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(cid): classes whose list has the greatest length and may hold nothing but links."""
+    full = graph.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("least"))
+    return save(full.where((F.col("n") >= MOST_NEIGHBOURS) & (F.col("least") >= threshold - band(dim))).select(F.col("a").alias("cid")), "saturated")
+
+
+def cut_links(base: DataFrame, full: DataFrame, roots: DataFrame, dim: int, threshold: float) -> DataFrame | None:
+    """Edges (a, b) between components that lists at their greatest length may have cut.
+
+    A list that isn't saturated holds the class's links, so a link that is in neither list is one
+    between two saturated classes; those in one component need no more. None if there is no other.
+    """
+    rows = save(full.join(base, "cid").join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "v"), "full")
+    n, kinds = rows.agg(F.count(F.lit(1)), F.countDistinct("root")).first()
+    if kinds < 2:
         return None
-    wide, deep = -(-n_full // COUNT_BLOCK), -(-base.count() // COUNT_BLOCK)
-    rows = base.join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "v")
-    own = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = rows.join(full, "cid", "left_semi").withColumn("i", own(wide)).withColumn("j", each(deep)).withColumn("full", F.lit(True))
-    b = rows.withColumn("j", own(deep)).withColumn("i", each(wide)).withColumn("full", F.lit(False))
-    met = a.unionByName(b).select((F.col("i").cast("long") * deep + F.col("j")).alias("pair"), "full", "root", "cid", "v")
+    wide = -(-n // COUNT_BLOCK)
+    own = F.pmod(F.xxhash64("cid"), F.lit(wide))
+    each = F.explode(F.sequence(F.lit(0), F.lit(wide - 1)))
+    a = rows.withColumn("i", own).withColumn("j", each).withColumn("full", F.lit(True))
+    b = rows.withColumn("j", own).withColumn("i", each).withColumn("full", F.lit(False))
+    met = a.unionByName(b).select((F.col("i").cast("long") * wide + F.col("j")).alias("pair"), "full", "root", "cid", "v")
     return save(met.repartition("pair").sortWithinPartitions("pair").mapInArrow(_across(dim, threshold), "a long, b long"), "across")
 
 
 def _count(dim: int, threshold: float):
-    """Over (root, pair, side, cid, n, v) sorted by (root, pair): links between the two blocks of a pair, per class."""
+    """Over (pair, asks, cid, n, v) sorted by pair: rows that each asking class links with, among those of its pair that don't ask."""
+
+    def work(rows):
+        key, asks, cid, n, u = rows
+        edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        out, num = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(edge[:-1], edge[1:]):
+            x, y = lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(~asks[lo:hi])
+            for i in range(0, len(x), ROWS):
+                some = x[i : i + ROWS]
+                link = (u[some] @ u[y].T >= threshold) & (cid[some][:, None] != cid[y][None, :])
+                out.append(cid[some]), num.append((link @ n[y]).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(num))], ["cid", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-
-        def work(rows):
-            key, side, cid, n, u = rows
-            edge = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]])
-            out, num = [], []
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                s, c, m, w = side[lo:hi], cid[lo:hi], n[lo:hi], u[lo:hi]
-                if (s == 2).any():  # a block with itself
-                    link = w @ w.T >= threshold
-                    np.fill_diagonal(link, False)
-                    out.append(c), num.append(link @ m)
-                else:
-                    x, y = s == 0, s == 1
-                    link = w[x] @ w[y].T >= threshold
-                    out += [c[x], c[y]]
-                    num += [link @ m[y], link.T @ m[x]]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(num).astype(np.int64))], ["cid", "links"])
-
         for batch in batches:
-            key = np.stack([np.asarray(batch.column(0)), np.asarray(batch.column(1))], axis=1)
-            now = (key, *(np.asarray(batch.column(i)) for i in (2, 3, 4)), unit(batch.column(5), dim))
-            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            edge = np.flatnonzero((held[0][1:] != held[0][:-1]).any(axis=1)) + 1
-            if len(edge):
-                yield work(tuple(x[: edge[-1]] for x in held))
-                held = tuple(x[edge[-1] :] for x in held)
+            if batch.num_rows:
+                whole, held = _groups(held, (*(np.asarray(batch.column(i)) for i in range(4)), unit(batch.column(4), dim)))
+                if len(whole[0]):
+                    yield work(whole)
         if held is not None and len(held[0]):
             yield work(held)
 
     return run
 
 
-def link_counts(base: DataFrame, roots: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(cid, links): rows linked with each class that has a root, counted by blocks of its component."""
-    members = base.join(roots, base["cid"] == roots["node"]).select("cid", "n", "v", "root")
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    members = members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("m") / COUNT_BLOCK).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("own", "other").cast("long"), F.greatest("own", "other").cast("long")
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    rows = members.select("root", F.shiftleft(low, 32).bitwiseOR(high).alias("pair"), side.alias("side"), "cid", "n", "v")
-    rows = rows.repartition("root", "pair").sortWithinPartitions("root", "pair")
-    return rows.mapInArrow(_count(dim, threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+def link_counts(base: DataFrame, links: DataFrame, full: DataFrame, roots: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(cid, links): rows linked with each class that has a root."""
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("m")).withColumn("blocks", F.ceil(F.col("m") / COUNT_BLOCK).cast("int"))
+    placed = save(roots.join(sizes, "root").select(F.col("node").alias("cid"), "root", "blocks"), "placed")
+    asking = placed.where("blocks = 1").select("cid").union(placed.where("blocks > 1").join(full, "cid", "left_semi").select("cid"))
+    # lists of large components whose class has a list that isn't saturated
+    both = links.union(links.select("b", "a")).join(placed.where("blocks > 1").select(F.col("cid").alias("a")), "a", "left_semi")
+    held = both.join(full.select(F.col("cid").alias("a")), "a", "left_anti").join(base.select(F.col("cid").alias("b"), "n"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
+    members = base.select("cid", "n", "v").join(placed, "cid").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asks = members.join(asking, "cid", "left_semi").withColumn("i", F.col("own")).withColumn("j", each).withColumn("asks", F.lit(True))
+    told = members.join(asking.join(placed, "cid").select("root").distinct(), "root", "left_semi").withColumn("j", F.col("own")).withColumn("i", each).withColumn("asks", F.lit(False))
+    # one number for (component, i, j); were two alike, pairs of different components would only be compared in vain
+    pair = F.xxhash64("root", "i", "j")
+    rows = asks.unionByName(told).select(pair.alias("pair"), "asks", "cid", "n", "v")
+    counted = rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(_count(dim, threshold), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+    return held.union(counted)
 
 
 def _compare_all(dim: int, threshold: float, probes: np.ndarray, names: np.ndarray):
@@ -301,25 +387,28 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     classes = rows.where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
     base = save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    lists = base.sparkSession.createDataFrame([], "a long, k int")
-    graph = base.sparkSession.createDataFrame([], "a long, b long, s double")
+    coded = save(base.select("cid", "v").mapInArrow(_code(dim), "cid long, q binary"), "coded")
+    graph = base.sparkSession.createDataFrame([], "a long, b long, s double, old boolean, k int")
     for round_ in itertools.count():
         seeds = list(range(round_ * TREES, (round_ + 1) * TREES))
-        placed = base.select("cid", "v").mapInArrow(_signatures(dim, seeds), "tree long, sig long, cid long, v array<double>")
-        placed = placed.repartitionByRange("tree", "sig", "cid").sortWithinPartitions("tree", "sig", "cid").select("cid", "v")
+        placed = coded.mapInArrow(_signatures(dim, seeds), "tree long, sig long, cid long, q binary")
+        placed = placed.repartitionByRange("tree", "sig", "cid").sortWithinPartitions("tree", "sig", "cid").select("cid", "q")
         leaves = placed.mapInArrow(_blocks(dim, NEIGHBOURS), "a long, b long, s double")
-        graph, lists = _descend(base, graph.union(leaves), lists, dim, threshold)
-        links = graph.where(F.col("s") >= threshold).select("a", "b")
+        graph = graph.union(leaves.select("a", "b", "s", F.lit(False).alias("old"), F.lit(NEIGHBOURS).alias("k")))
+        found, _ = descend(coded, _lists(graph, threshold), dim, threshold)
+        links = true_links(found, base, dim, threshold)
+        full = saturated(found, dim, threshold)
         roots = components(links, "embeddings")
-        across = cut_links(base, graph, roots, dim, threshold)
+        across = cut_links(base, full, roots, dim, threshold)
         if across is not None:
             roots = components(links.union(across), "embeddings")
         # a component's root is a member too
         roots = save(roots.union(roots.select("root", "root").distinct()), "roots")
-        counts = save(link_counts(base, roots, dim, threshold), "counts")
+        counts = save(link_counts(base, links, full, roots, dim, threshold), "counts")
         recall = audit(base, counts, roots, dim, threshold)
         if recall >= RECALL:
             break
+        graph = found.select("a", "b", "s", F.lit(True).alias("old"), "k")
     placed = base.join(roots, base["cid"] == roots["node"], "left").select("cid", "v", "n", "least", F.coalesce("root", "cid").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
     label = placed.join(least, "root").join(counts, "cid", "left").select(F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
