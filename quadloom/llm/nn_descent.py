@@ -2,8 +2,9 @@
 
 1. Equal vectors are one class; only classes go on, as directions of 16-bit numbers. What such
    numbers can't decide (a cosine within their error of the threshold) is decided in double precision.
-2. The graph starts poor: TREES random-projection trees order the classes, and each meets its
-   neighbours in overlapping blocks of fixed size. A hot leaf is just more blocks.
+2. The graph starts poor: each class meets its neighbours in overlapping blocks of fixed size, in
+   an order by hash, which keeps the graph connected, and in those of TREES random-projection
+   trees, which saves rounds. A hot leaf is just more blocks.
 3. NN-descent: each round, the neighbours of a class, and some of those whose neighbour it is,
    meet each other if one of them is new there; what is nearer than the last of a list enters
    it. Lists hold the nearest whatever their cosine, so that a vector without near ones goes on
@@ -17,7 +18,7 @@
    list is saturated: then the class is compared with its whole component, block by block.
 6. Audit: up to AUDIT classes, chosen by hash, of each stratum (no component, a small one, a
    large one) are compared with all rows. While the mean recall of a stratum's classes that
-   have links is below RECALL, more trees are added and the rounds go on.
+   have links is below RECALL, another order by hash and more trees are added and the rounds go on.
 
 Defined results: null, zero and non-finite vectors and those whose length isn't the table's
 greatest link with nothing; equal vectors link (cosine 1); rows that repeat count each other;
@@ -390,8 +391,8 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     coded = save(base.select("cid", "v").mapInArrow(_code(dim), "cid long, q binary"), "coded")
     graph = base.sparkSession.createDataFrame([], "a long, b long, s double, old boolean, k int")
     for round_ in itertools.count():
-        seeds = list(range(round_ * TREES, (round_ + 1) * TREES))
-        placed = coded.mapInArrow(_signatures(dim, seeds), "tree long, sig long, cid long, q binary")
+        placed = coded.mapInArrow(_signatures(dim, list(range(round_ * TREES, (round_ + 1) * TREES))), "tree long, sig long, cid long, q binary")
+        placed = placed.union(coded.select(F.lit(-1).cast("long"), F.xxhash64("cid", F.lit(round_)), "cid", "q"))
         placed = placed.repartitionByRange("tree", "sig", "cid").sortWithinPartitions("tree", "sig", "cid").select("cid", "q")
         leaves = placed.mapInArrow(_blocks(dim, NEIGHBOURS), "a long, b long, s double")
         graph = graph.union(leaves.select("a", "b", "s", F.lit(False).alias("old"), F.lit(NEIGHBOURS).alias("k")))

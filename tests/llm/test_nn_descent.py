@@ -79,16 +79,15 @@ def test_audit_sees_lone_pairs_beside_a_hot_group(spark):
 
 
 def test_rounds_find_what_the_start_does_not(spark):
-    """A poor start (one tree, blocks of few) holds few links; the rounds find nearly all."""
+    """A start at random holds few links; the rounds find nearly all."""
     rng = np.random.default_rng(9)
     centers = rng.standard_normal((150, 32))
     v = np.concatenate([c + 0.12 * rng.standard_normal((8, 32)) for c in centers])
     u = v / np.linalg.norm(v, axis=1)[:, None]
     every = int((u @ u.T >= 0.95).sum()) - len(v)
-    base = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "cid long, v array<double>")
-    coded = base.mapInArrow(nn._code(32), "cid long, q binary")
-    start = coded.mapInArrow(nn._signatures(32, [0]), "tree long, sig long, cid long, q binary").repartitionByRange("sig", "cid").sortWithinPartitions("sig", "cid").select("cid", "q")
+    coded = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "cid long, v array<double>").mapInArrow(nn._code(32), "cid long, q binary")
+    start = coded.selectExpr("xxhash64(cid) as h", "*").repartitionByRange("h").sortWithinPartitions("h").select("cid", "q")
     leaves = start.mapInArrow(nn._blocks(32, 4), "a long, b long, s double")
     graph = nn._lists(leaves.selectExpr("a", "b", "s", "false as old", f"{nn.NEIGHBOURS} as k"), 0.95)
     _, held = nn.descend(coded, graph, 32, 0.95)
-    assert held[0] < 0.7 * every and held[-1] >= 0.98 * every and held[-1] <= every
+    assert held[0] < 0.1 * every and 0.98 * every <= held[-1] <= every
