@@ -61,29 +61,63 @@ def test_clip_polygon_examples():
     assert _area(k.clip_polygon(ring, (5, 5, 25, 15))) == 200 - 50
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.integers(0, 10_000))
-def test_clipped_parts_lie_in_the_box_and_hold_its_share(seed):
-    rng = random.Random(seed)
-    import math
-
-    n = rng.randint(3, 12)
-    angles = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
-    star = [(round(5000 + rng.uniform(500, 4000) * math.cos(a)), round(5000 + rng.uniform(500, 4000) * math.sin(a))) for a in angles]
-    box = (rng.randint(0, 5000), rng.randint(0, 5000), rng.randint(5001, 10000), rng.randint(5001, 10000))
-    got = k.clip_polygon([[*star, star[0]]], box)
-    simple = k.clip_ring(star, box)
-    want = abs(k.area2(simple[:-1])) / 2 if simple else 0
+def even_odd_area(rings, box):
+    """Area of the rings' even-odd region in the box, by slabs between all heights at which anything happens."""
+    edges = [(a, b) for r in rings for a, b in zip(r, r[1:] + r[:1]) if a[1] != b[1]]
+    heights = {box[1], box[3], *(p[1] for r in rings for p in r)}
+    for i, (a, b) in enumerate(edges):
+        for c, d in edges[:i]:
+            den = (b[0] - a[0]) * (d[1] - c[1]) - (b[1] - a[1]) * (d[0] - c[0])
+            if den:
+                t = ((c[0] - a[0]) * (d[1] - c[1]) - (c[1] - a[1]) * (d[0] - c[0])) / den
+                heights.add(a[1] + t * (b[1] - a[1])) if 0 <= t <= 1 else None
+        for x in (box[0], box[2]):
+            if (a[0] - x) * (b[0] - x) < 0:
+                heights.add(a[1] + (x - a[0]) / (b[0] - a[0]) * (b[1] - a[1]))
+    total, heights = 0.0, sorted(y for y in heights if box[1] <= y <= box[3])
+    for low, high in zip(heights, heights[1:]):
+        y = (low + high) / 2
+        xs = sorted(a[0] + (y - a[1]) / (b[1] - a[1]) * (b[0] - a[0]) for a, b in edges if min(a[1], b[1]) < y < max(a[1], b[1]))
+        total += sum(max(0, min(v, box[2]) - max(u, box[0])) for u, v in zip(xs[::2], xs[1::2])) * (high - low)
+    return total
+
+
+def check_clip(rings, box):
+    got = k.clip_polygon([[*r, r[0]] for r in rings], box)
+    want = even_odd_area(rings, box)
     assert abs(_area(got) - want) <= 25_000  # cut points are rounded
     for p in got:
+        assert k.area2(p[0][:-1]) > 0 and all(k.area2(r[:-1]) < 0 for r in p[1:])
         for r in p:
             assert r[0] == r[-1] and all(box[0] <= x <= box[2] and box[1] <= y <= box[3] for x, y in r)
+    # what is left of the box is the rest of it
+    assert abs(_area(k.subtract(box, [rings])) + want - (box[2] - box[0]) * (box[3] - box[1])) <= 25_000
+
+
+@pytest.mark.parametrize("block", range(10))
+def test_clipped_parts_lie_in_the_box_and_hold_its_share(block):
+    import math
+
+    for seed in range(block * 1000, block * 1000 + 1000):
+        rng = random.Random(seed)
+        n = rng.randint(3, 12)
+        angles = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
+        star = [(round(5000 + rng.uniform(500, 4000) * math.cos(a)), round(5000 + rng.uniform(500, 4000) * math.sin(a))) for a in angles]
+        check_clip([star], (rng.randint(0, 5000), rng.randint(0, 5000), rng.randint(5001, 10000), rng.randint(5001, 10000)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11)), min_size=3, max_size=9), min_size=1, max_size=3))
+def test_points_and_edges_on_the_box(rings):
+    check_clip([[(1_000 * x, 1_000 * y) for x, y in r] for r in rings], (2_000, 3_000, 8_000, 9_000))
 
 
 def test_subtract():
     assert _area(k.subtract((0, 0, 10, 10), [])) == 100
     assert _area(k.subtract((0, 0, 10, 10), [[[(2, 2), (4, 2), (4, 4), (2, 4), (2, 2)]]])) == 96
     assert _area(k.subtract((0, 0, 10, 10), [[[(-5, -5), (5, -5), (5, 15), (-5, 15), (-5, -5)]]])) == 50
+    assert _area(k.subtract((0, 0, 10, 10), [[[(0, 0), (4, 0), (4, 4), (0, 4)]]])) == 84
+    assert _area(k.subtract((0, 0, 10, 10), [[[(0, 0), (4, 0), (4, 4), (0, 4)]], [[(4, 0), (9, 0), (9, 4), (4, 4)]]])) == 64
     assert k.subtract((0, 0, 10, 10), [[[(-5, -5), (15, -5), (15, 15), (-5, 15), (-5, -5)]]]) == []
 
 
