@@ -59,5 +59,5 @@ def tag_integer(value: Column) -> Column:
 
 
 def visible(key: Column) -> Column:
-    """Keys that tiles show: not `layer`, and none that begin with two underscores."""
+    """Keys that squares show: not `layer`, and none that begin with two underscores."""
     return (key != "layer") & ~key.startswith("__")

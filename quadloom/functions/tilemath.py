@@ -61,7 +61,7 @@ def quad_pos(x: Column, y: Column) -> Column:
 
 
 def children(z: Column, x: Column, y: Column) -> Column:
-    """The four tiles below, in order of quad_pos."""
+    """The four squares below, in order of quad_pos."""
     return F.array(*[F.struct((z + 1).alias("z"), (x * 2 + i % 2).alias("x"), (y * 2 + i // 2).alias("y")) for i in range(4)])
 
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from quadloom.constants import BOOL_FALSE, BOOL_TRUE, EXTENT, INTEGER, LINE, NUMERIC, POINT, POLYGON, STRING
 from quadloom.operators import protobuf as pb
@@ -163,6 +164,12 @@ def encode_tiles(features: DataFrame, compress: bool = True) -> DataFrame:
     return rows.groupBy("z", "x", "y").applyInPandas(_tile(compress), "z long, x long, y long, n_features long, mvt binary")
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def line_commands(s: pd.Series) -> pd.Series:
+    """The commands of each line (array of points), from the tile's corner at (0, 0)."""
+    return s.map(lambda line: encode_geometry(LINE, [[[(int(p["x"]), int(p["y"])) for p in line]]], (0, 0)))
+
+
 def inflate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(zlib.decompress)

@@ -1,4 +1,4 @@
-"""The wire format of protocol buffers: just what vector tiles and OSM files need."""
+"""The wire format of protocol buffers: just what vector map squares and OSM files need."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Spatial joins as equi-joins on cells and tiles; boxes only filter what the keys bring together."""
+"""Spatial joins as equi-joins on cells and squares; boxes only filter what the keys bring together."""
 
 from __future__ import annotations
 
@@ -21,11 +21,11 @@ def draw_box(prefix: str = "draw_") -> list[Column]:
     return [F.col(f"{prefix}{c}") for c in BOX]
 
 
-def with_bounds(tiles: DataFrame) -> DataFrame:
-    return tiles.withColumn("_b", tile_bounds(F.col("z"), F.col("x"), F.col("y"))).select(*tiles.columns, "_b.*")
+def with_bounds(tile_set: DataFrame) -> DataFrame:
+    return tile_set.withColumn("_b", tile_bounds(F.col("z"), F.col("x"), F.col("y"))).select(*tile_set.columns, "_b.*")
 
 
-def tile_cells(tiles: DataFrame) -> DataFrame:
+def tile_cells(tile_set: DataFrame) -> DataFrame:
     """(z, x, y, cell_x, cell_y): the storage cells that a tile covers or lies in."""
     z = F.col("z")
     up, down = F.greatest(z - CELL_ZOOM, F.lit(0)), F.greatest(CELL_ZOOM - z, F.lit(0))
@@ -34,7 +34,7 @@ def tile_cells(tiles: DataFrame) -> DataFrame:
         low = F.call_function("shiftleft", shr(F.col(v), up), down.cast("int"))
         return F.sequence(low, low + F.call_function("shiftleft", F.lit(1).cast("long"), down.cast("int")) - 1)
 
-    return tiles.withColumn("cell_x", F.explode(span("x"))).withColumn("cell_y", F.explode(span("y")))
+    return tile_set.withColumn("cell_x", F.explode(span("x"))).withColumn("cell_y", F.explode(span("y")))
 
 
 def range_scan(store: DataFrame, tile: tuple[int, int, int]) -> DataFrame:
@@ -46,14 +46,14 @@ def range_scan(store: DataFrame, tile: tuple[int, int, int]) -> DataFrame:
     return store.where(F.col("cell_x").between(x0, x0 + n) & F.col("cell_y").between(y0, y0 + n))
 
 
-def match(store: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Stored features (one row per cell) with the tiles that draw them; a feature comes once per tile and cell.
+def match(store: DataFrame, tile_set: DataFrame) -> DataFrame:
+    """Stored features (one row per cell) with the squares that draw them; a feature comes once per tile and cell.
 
-    Deep tiles (zoom >= 10) lie in one cell: an equi-join on it. For shallow tiles a feature is
-    lifted to the tiles above its cell, at the zooms at which it shows, so the key is the tile
+    Deep squares (zoom >= 10) lie in one cell: an equi-join on it. For shallow squares a feature is
+    lifted to the squares above its cell, at the zooms at which it shows, so the key is the tile
     itself and no list of up to 4^10 cells is made. Zoom and box filter the pairs.
     """
-    spec = with_bounds(tiles)
+    spec = with_bounds(tile_set)
     deep = spec.where(F.col("z") >= CELL_ZOOM)
     up = (F.col("z") - CELL_ZOOM).cast("int")
     deep = deep.withColumns({"cell_x": shr(F.col("x"), up), "cell_y": shr(F.col("y"), up)})
@@ -77,7 +77,7 @@ def dedup_in_tile(rows: DataFrame, layer: str = "layer", kind: str = "geom_type"
 
 
 def walk(queries: DataFrame, entries: DataFrame, least: int = 0) -> DataFrame:
-    """(query, entry) pairs of tiles where one is the other, above it or below it.
+    """(query, entry) pairs of squares where one is the other, above it or below it.
 
     Both directions are equi-joins: a query's ancestors meet entries, and entries' proper
     ancestors meet queries. Entry columns are prefixed by e.

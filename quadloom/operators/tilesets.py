@@ -1,4 +1,4 @@
-"""Sets of tiles where a tile stands for all below it: membership, leaves, normal form, roll-up."""
+"""Sets of squares where a tile stands for all below it: membership, leaves, normal form, roll-up."""
 
 from __future__ import annotations
 
@@ -11,12 +11,12 @@ from quadloom.operators.spatial import walk
 KEY = ["z", "x", "y"]
 
 
-def _lifted(tiles: DataFrame) -> DataFrame:
-    return tiles.withColumn("_a", F.explode(ancestors(*map(F.col, KEY))))
+def _lifted(tile_set: DataFrame) -> DataFrame:
+    return tile_set.withColumn("_a", F.explode(ancestors(*map(F.col, KEY))))
 
 
 def covered(queries: DataFrame, members: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Queries that are in the set or below one of its tiles (left_anti: the others)."""
+    """Queries that are in the set or below one of its squares (left_anti: the others)."""
     q = queries.withColumn("_q", F.monotonically_increasing_id()) if how == "left_anti" else queries
     m = members.select(*[F.col(c).alias(f"_m{c}") for c in KEY]).distinct()
     up = _lifted(q)

@@ -1,4 +1,4 @@
-"""The store and the tiles made from it: import, request, prepare."""
+"""The store and the squares made from it: import, request, prepare."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from quadloom.plans.profile import DEFAULT, Profile, classify
 
 @dataclass(frozen=True)
 class Flags:
-    """How tiles are drawn. Prepared tiles merge lines and leave out the open sea; served ones don't."""
+    """How squares are drawn. Prepared squares merge lines and leave out the open sea; served ones don't."""
 
     compress: bool = True
     ignore_prepared: bool = False
@@ -50,12 +50,12 @@ def write_store(store: DataFrame, path: str) -> None:
     rows.drop("_t").repartitionByRange("cell_y", "cell_x", "min_z").sortWithinPartitions("cell_y", "cell_x", "min_z", "quad_key", "id").write.mode("overwrite").parquet(path)
 
 
-def render(store: DataFrame, tiles: DataFrame, flags: Flags = Flags(), seaside: DataFrame | None = None) -> DataFrame:
+def render(store: DataFrame, tile_set: DataFrame, flags: Flags = Flags(), seaside: DataFrame | None = None) -> DataFrame:
     """Features of each tile as they are drawn: (z, x, y, layer, id, geom_type, parts, meta)."""
-    tiles = tiles.where(require_tile(F.col("z"), F.col("x"), F.col("y"))).select("z", "x", "y").distinct()
+    tile_set = tile_set.where(require_tile(F.col("z"), F.col("x"), F.col("y"))).select("z", "x", "y").distinct()
     if seaside is not None and flags.ignore_fully_seaside:
-        tiles = covered(tiles, seaside, "left_anti")
-    rows = spatial.dedup_in_tile(spatial.match(store, tiles))
+        tile_set = covered(tile_set, seaside, "left_anti")
+    rows = spatial.dedup_in_tile(spatial.match(store, tile_set))
     rows = rows.select("z", "x", "y", "layer", "id", "geom_type", "meta", *[f"draw_{c}" for c in spatial.BOX], "parts")
     merged = None
     if flags.aggregate_lines:
@@ -68,7 +68,7 @@ def render(store: DataFrame, tiles: DataFrame, flags: Flags = Flags(), seaside:
     return drawn.select("z", "x", "y", "layer", "id", "geom_type", "meta", "parts")
 
 
-def debug_features(tiles: DataFrame) -> DataFrame:
+def debug_features(tile_set: DataFrame) -> DataFrame:
     """Two features per tile in layer tiles_debug_info: its centre, with its name, and its outline."""
     z, x, y = F.col("z"), F.col("x"), F.col("y")
     corner = lambda dx, dy: F.struct(((x * 4096) + dx).alias("x"), ((y * 4096) + dy).alias("y"))
@@ -76,18 +76,18 @@ def debug_features(tiles: DataFrame) -> DataFrame:
     outline = F.array(F.array(F.array(*[corner(a, b) for a, b in ((0, 0), (4095, 0), (4095, 4095), (0, 4095), (0, 0))])))
     name = F.array(F.struct(F.lit("tile_id").alias("key"), F.struct(F.lit(2).cast("tinyint").alias("vtype"), F.concat_ws("/", z, x, y).alias("s"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("bigint").alias("i")).alias("value")))
     both = F.array(F.struct(F.lit(1).cast("long").alias("id"), F.lit(POINT).alias("geom_type"), name.alias("meta"), center.alias("parts")), F.struct(F.lit(2).cast("long").alias("id"), F.lit(LINE).alias("geom_type"), F.slice(name, 1, 0).alias("meta"), outline.alias("parts")))
-    return tiles.select("z", "x", "y", F.lit("tiles_debug_info").alias("layer"), F.explode(both).alias("f")).select("z", "x", "y", "layer", "f.*")
+    return tile_set.select("z", "x", "y", F.lit("tiles_debug_info").alias("layer"), F.explode(both).alias("f")).select("z", "x", "y", "layer", "f.*")
 
 
-def get_tiles(store: DataFrame, tiles: DataFrame, flags: Flags = Flags(), seaside: DataFrame | None = None, prepared: DataFrame | None = None) -> DataFrame:
-    """(z, x, y, n_features, mvt) of the tiles that have features; prepared tiles are looked up."""
+def get_tiles(store: DataFrame, tile_set: DataFrame, flags: Flags = Flags(), seaside: DataFrame | None = None, prepared: DataFrame | None = None) -> DataFrame:
+    """(z, x, y, n_features, mvt) of the squares that have features; prepared squares are looked up."""
     if prepared is not None and not flags.ignore_prepared:
         deepest = prepared.agg(F.coalesce(F.max("z"), F.lit(-1)).alias("z")).first()[0]
-        known = tiles.where(F.col("z") <= deepest).join(prepared, ["z", "x", "y"]).select("z", "x", "y", "n_features", "mvt")
-        return known.unionByName(get_tiles(store, tiles.where(F.col("z") > deepest), flags, seaside))
-    rows = render(store, tiles, flags, seaside)
+        known = tile_set.where(F.col("z") <= deepest).join(prepared, ["z", "x", "y"]).select("z", "x", "y", "n_features", "mvt")
+        return known.unionByName(get_tiles(store, tile_set.where(F.col("z") > deepest), flags, seaside))
+    rows = render(store, tile_set, flags, seaside)
     if flags.debug:
-        rows = rows.unionByName(debug_features(tiles))
+        rows = rows.unionByName(debug_features(tile_set))
     # layers are numbered by name: the order in the tile is the same wherever it is made
     return encode_tiles(rows.withColumn("layer_idx", F.when(F.col("layer") == "coastline", "").otherwise(F.col("layer"))), flags.compress)
 
@@ -97,16 +97,16 @@ def dataset_bounds(store: DataFrame) -> DataFrame:
 
 
 def prepare_tiles(store: DataFrame, deepest: int = 10, shallowest: int = 0, seaside: DataFrame | None = None) -> DataFrame:
-    """All tiles with features from zoom `shallowest` to `deepest`.
+    """All squares with features from zoom `shallowest` to `deepest`.
 
-    Which tiles to make follows from the stored cells, so empty ones are never listed.
+    Which squares to make follows from the stored cells, so empty ones are never listed.
     """
     cells = store.select("cell_x", "cell_y", "min_z").groupBy("cell_x", "cell_y").agg(F.min("min_z").alias("min_z"))
     zooms = F.filter(F.sequence(F.lit(shallowest).cast("long"), F.lit(deepest).cast("long")), lambda z: z >= F.col("min_z"))
-    tiles = cells.withColumn("z", F.explode(zooms))
+    tile_set = cells.withColumn("z", F.explode(zooms))
     drop = (10 - F.col("z")).cast("int")
-    tiles = tiles.select("z", F.call_function("shiftright", F.col("cell_x"), drop).alias("x"), F.call_function("shiftright", F.col("cell_y"), drop).alias("y")).distinct()
-    return get_tiles(store, tiles, PREPARE, seaside)
+    tile_set = tile_set.select("z", F.call_function("shiftright", F.col("cell_x"), drop).alias("x"), F.call_function("shiftright", F.col("cell_y"), drop).alias("y")).distinct()
+    return get_tiles(store, tile_set, PREPARE, seaside)
 
 
 def get_tile(spark: SparkSession, store: DataFrame, z: int, x: int, y: int, flags: Flags = Flags()) -> bytes | None:

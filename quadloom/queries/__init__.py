@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("tiles", "predicates", "hierarchy", "aggregates", "geometry", "output", "importing", "styles")
+_MODULES = ("tile_queries", "predicates", "hierarchy", "aggregates", "geometry", "output", "importing", "styles")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

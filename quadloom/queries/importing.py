@@ -4,10 +4,9 @@ from pyspark.sql import functions as F
 
 from quadloom import fixtures as fx
 from quadloom.fixtures import sql
-from quadloom.functions.mercator import fixed_to_latlng
 from quadloom.operators import shapes, tables
 from quadloom.queries import query
-from quadloom.sources import osm_pbf, shapefile, shared_folder
+from quadloom.sources import osm_pbf, shapefile, shared_folder, write_parts
 
 c = F.col
 
@@ -23,7 +22,7 @@ def run_way_geometry(spark, sf):
     return lines.select("way_id", F.size("points").alias("n_points"), F.array_min(F.transform("points", lambda p: p["x"])).alias("min_x"), F.array_max(F.transform("points", lambda p: p["y"])).alias("max_y"))
 
 
-@query("multipolygon")
+@query("multipolygon", sql("SELECT id AS relation_id, CAST(1 AS BIGINT) AS n_parts, CAST(CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n_rings FROM fx_rects", "fx_rects"))
 def run_multipolygon(spark, sf):
     """Each rectangle as a relation of two open ways, and a hole in every third."""
     r = fx.rects(spark, sf)
@@ -40,24 +39,33 @@ def run_multipolygon(spark, sf):
     return out.select("relation_id", "n_parts", F.size(c("parts")[0]).alias("n_rings"))
 
 
-@query("scan_osm")
+_OSM = """SELECT 'node' AS kind, node_id AS id, y % 1700000000 - 850000000 AS lat_e7, x % 3600000000 - 1800000000 AS lng_e7, CAST(CASE WHEN node_id % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_tags, CAST(NULL AS INTEGER) AS n_refs, CAST(NULL AS BIGINT) AS sum_refs FROM fx_nodes
+UNION ALL SELECT 'way', 100000000 + way_id, NULL, NULL, CAST(1 AS INTEGER), CAST(count(*) AS INTEGER), CAST(sum(ref) AS BIGINT) FROM fx_way_nodes GROUP BY way_id"""
+
+
+@query("scan_osm", sql(_OSM.replace("100000000 +", "CAST(100000000 AS BIGINT) +"), "fx_nodes", "fx_way_nodes"))
 def run_scan_osm(spark, sf):
-    """A small extract of the derived nodes and ways, written as a PBF file and scanned."""
-    n = fx.nodes(spark, sf).orderBy("node_id").limit(5000).withColumn("p", fixed_to_latlng(c("x"), c("y"))).select("node_id", "p.lat", "p.lng").collect()
-    rows = [("node", r["node_id"], r["lat"], r["lng"], {"place": "city"} if r["node_id"] % 5 == 0 else {}, None, None) for r in n]
-    rows += [("way", 10_000_000 + k, None, None, {"highway": "trunk"}, [r["node_id"] for r in n[k : k + 4]], None) for k in range(0, len(n) - 4, 4)]
-    path = f"{shared_folder(spark, 'extract')}/extract.osm.pbf"
-    osm_pbf.write(path, rows)
+    """All derived nodes and ways, written as PBF files by the executors and scanned."""
+    text = F.expr("cast(map() as map<string,string>)")
+    none = [F.lit(None).cast(t) for t in ("double", "double", "array<bigint>")]
+    n = fx.nodes(spark, sf).select(F.lit("node").alias("kind"), "node_id", ((c("y") % 1700000000 - 850000000) / 1e7).alias("lat"), ((c("x") % 3600000000 - 1800000000) / 1e7).alias("lng"), F.when(c("node_id") % 5 == 0, F.create_map(F.lit("place"), F.lit("city"))).otherwise(text).alias("tags"), none[2].alias("refs"))
+    w = fx.way_nodes(spark, sf).groupBy("way_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ref"))), lambda p: p["ref"]).alias("refs"))
+    w = w.select(F.lit("way"), c("way_id") + 100000000, none[0], none[1], F.create_map(F.lit("highway"), F.lit("trunk")), "refs")
+    folder = shared_folder(spark, "extract")
+    write_parts(n.union(w), folder, ".osm.pbf", lambda path, rows: osm_pbf.write(path, [(*r[:4], dict(r[4]), r[5], None) for r in rows]))
     spark.dataSource.register(osm_pbf.OsmPbfSource)
-    scan = spark.read.format("osm_pbf").option("path", path).load()
-    return scan.select("kind", "id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.size("tags").alias("n_tags"), F.size("refs").alias("n_refs"))
+    scan = spark.read.format("osm_pbf").option("path", folder).load()
+    e7 = lambda k: F.round(c(k) * 1e7).cast("long").alias(f"{k}_e7")
+    return scan.select("kind", "id", e7("lat"), e7("lng"), F.size("tags").alias("n_tags"), F.size("refs").alias("n_refs"), F.aggregate("refs", F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_refs"))
 
 
-@query("scan_shp")
+@query("scan_shp", sql(f"SELECT min_x - {fx.X0} AS min_x, min_y - {fx.Y0} AS min_y, max_x - {fx.X0} AS max_x, max_y - {fx.Y0} AS max_y, CAST(1 AS INTEGER) AS n_rings, CAST(5 AS INTEGER) AS n_points FROM fx_rects", "fx_rects"))
 def run_scan_shp(spark, sf):
-    """A small extract of the derived rectangles, written as a zipped shapefile and scanned."""
-    r = fx.rects(spark, sf).orderBy("id").limit(1000)
-    r = r.withColumn("a", fixed_to_latlng(c("min_x"), c("min_y"))).withColumn("b", fixed_to_latlng(c("max_x"), c("max_y"))).select("a.*", c("b.lat").alias("lat2"), c("b.lng").alias("lng2")).collect()
-    path = f"{shared_folder(spark, 'extract')}/land.zip"
-    shapefile.write(path, [[[(x["lng"], x["lat"]), (x["lng"], x["lat2"]), (x["lng2"], x["lat2"]), (x["lng2"], x["lat"]), (x["lng"], x["lat"])]] for x in r])
-    return shapefile.read(spark, path).select("shape", F.size("rings").alias("n_rings"), F.size(c("rings")[0]).alias("n_points"))
+    """All derived rectangles, written as zipped shapefiles by the executors and scanned."""
+    x0, y0, x1, y1 = ((c(k) - o) / 1e7 for k, o in (("min_x", fx.X0), ("min_y", fx.Y0), ("max_x", fx.X0), ("max_y", fx.Y0)))
+    folder = shared_folder(spark, "extract")
+    rows = fx.rects(spark, sf).select(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    write_parts(rows, folder, ".zip", lambda path, held: shapefile.write(path, [[[(a, b), (a, d), (e, d), (e, b), (a, b)]] for a, b, e, d in held]))
+    ring = shapefile.read(spark, f"{folder}/*.zip").select("rings", F.transform(c("rings")[0], lambda p: F.struct(F.round(p["lng"] * 1e7).cast("long").alias("x"), F.round(p["lat"] * 1e7).cast("long").alias("y"))).alias("p"))
+    ends = [f(F.transform("p", lambda q: q[k])).alias(n) for n, f, k in (("min_x", F.array_min, "x"), ("min_y", F.array_min, "y"), ("max_x", F.array_max, "x"), ("max_y", F.array_max, "y"))]  # noqa: B023
+    return ring.select(*ends, F.size("rings").alias("n_rings"), F.size("p").alias("n_points"))

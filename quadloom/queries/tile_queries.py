@@ -1,4 +1,4 @@
-"""Tile arithmetic, projections of coordinates, and joins of features with tiles."""
+"""Tile arithmetic, projections of coordinates, and joins of features with squares."""
 
 from pyspark.sql import functions as F
 

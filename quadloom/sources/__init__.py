@@ -6,14 +6,33 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"quadloom-{label}-")
     path = f"{root.removeprefix('file://').rstrip('/')}/quadloom/{label}-{uuid.uuid4().hex[:12]}"
     os.makedirs(path)
     return path
+
+
+def write_parts(rows: DataFrame, folder: str, suffix: str, write: Callable[[str, list], None]) -> int:
+    """One file of `folder` for each partition of rows, written by its task; the number of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        if held:
+            name = f"{folder}/{uuid.uuid4().hex}"
+            write(name, held)
+            os.replace(name, name + suffix)  # a lost task leaves no half-written part
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+
+    return rows.mapInArrow(run, "file string").count()

@@ -12,6 +12,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -96,24 +97,29 @@ def primitives(block: bytes) -> Iterator[tuple]:
 
 
 class _Blobs(InputPartition):
-    def __init__(self, blobs: list[tuple[int, int]]):
-        self.blobs = blobs
+    def __init__(self, path: str, blobs: list[tuple[int, int]]):
+        self.path, self.blobs = path, blobs
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+        path = options["path"].removeprefix("file://")
+        self.paths = sorted(str(p) for p in Path(path).glob("*.pbf")) if Path(path).is_dir() else [path]
         self.per_task = int(options.get("blobsPerTask", 16))
 
     def partitions(self):
-        found = [(at, n) for kind, at, n in blob_headers(self.path) if kind == "OSMData"]
-        return [_Blobs(found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)] or [_Blobs([])]
+        parts = []
+        for path in self.paths:
+            found = [(at, n) for kind, at, n in blob_headers(path) if kind == "OSMData"]
+            parts += [_Blobs(path, found[i : i + self.per_task]) for i in range(0, len(found), self.per_task)]
+        return parts or [_Blobs("", [])]
 
     def read(self, partition: _Blobs) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
-            for at, n in partition.blobs:
-                f.seek(at)
-                yield from primitives(_unpack(f.read(n)))
+        if partition.blobs:
+            with open(partition.path, "rb") as f:
+                for at, n in partition.blobs:
+                    f.seek(at)
+                    yield from primitives(_unpack(f.read(n)))
 
 
 class OsmPbfSource(DataSource):

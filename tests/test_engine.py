@@ -39,7 +39,7 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted((tuple(_plain(r[c]) for c in columns) for r in df.collect()), key=repr) == sorted((tuple(_plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
 
 
-def tiles(spark, rows):
+def tile_set(spark, rows):
     return spark.createDataFrame(rows, "z long, x long, y long")
 
 
@@ -48,18 +48,18 @@ def got(df):
 
 
 def test_tile_sets(spark):
-    one = tiles(spark, [(1, 0, 0)])
-    assert got(tilesets.covered(tiles(spark, [(1, 0, 0), (0, 0, 0), (2, 0, 0), (1, 1, 0), (2, 2, 2)]), one)) == [(1, 0, 0), (2, 0, 0)]
-    two = tiles(spark, [(2, 0, 1), (2, 3, 3)])
-    assert got(tilesets.covered(tiles(spark, [(2, 0, 1), (8, 42, 48)]), two)) == [(2, 0, 1)]
-    under = tilesets.leaves_under(tiles(spark, [(1, 0, 0), (8, 200, 200), (3, 7, 0)]), two)
+    one = tile_set(spark, [(1, 0, 0)])
+    assert got(tilesets.covered(tile_set(spark, [(1, 0, 0), (0, 0, 0), (2, 0, 0), (1, 1, 0), (2, 2, 2)]), one)) == [(1, 0, 0), (2, 0, 0)]
+    two = tile_set(spark, [(2, 0, 1), (2, 3, 3)])
+    assert got(tilesets.covered(tile_set(spark, [(2, 0, 1), (8, 42, 48)]), two)) == [(2, 0, 1)]
+    under = tilesets.leaves_under(tile_set(spark, [(1, 0, 0), (8, 200, 200), (3, 7, 0)]), two)
     assert got(under) == [(1, 0, 0, 2, 0, 1), (8, 200, 200, 8, 200, 200)]
-    assert got(tilesets.normalize(tiles(spark, [(1, 0, 0), (2, 1, 1), (2, 2, 2)]))) == [(1, 0, 0), (2, 2, 2)]
+    assert got(tilesets.normalize(tile_set(spark, [(1, 0, 0), (2, 1, 1), (2, 2, 2)]))) == [(1, 0, 0), (2, 2, 2)]
 
 
 def test_quad_walk(spark):
     entries = spark.createDataFrame([(2, 0, 0, 1, 3), (4, 0, 2, 5, 1), (4, 0, 0, 4, 1)], "z long, x long, y long, offset long, size long")
-    pairs = spatial.walk(tiles(spark, [(0, 0, 0), (3, 0, 0), (4, 0, 2), (5, 0, 4)]), entries)
+    pairs = spatial.walk(tile_set(spark, [(0, 0, 0), (3, 0, 0), (4, 0, 2), (5, 0, 4)]), entries)
     found = {}
     for r in pairs.collect():
         found.setdefault((r["z"], r["x"], r["y"]), set()).add((r["eoffset"], r["esize"]))
@@ -88,5 +88,5 @@ def test_tiles_decode_and_hold_what_was_asked(spark):
 
 
 def test_spatial_join_is_on_keys(spark):
-    plan = spatial.match(registry.tiles.rect_store(spark, SF), fx.requests(spark))._jdf.queryExecution().executedPlan().toString()
+    plan = spatial.match(registry.tile_queries.rect_store(spark, SF), fx.requests(spark))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
