@@ -11,8 +11,12 @@ here; what is linked follows from the shingles.
    first has all its common shingles up to there in the other's prefix, and at most the rest of
    it in common beyond. This exact bound drops texts that only share a passage.
 4. What is left is checked on the whole sets, which are read for these texts only. First the
-   SimHash links and one pivot per shingle, so that dense groups become components at once; then
-   all pairs that lie in different components.
+   SimHash links and one pivot per shingle, so that dense groups become components at once; then,
+   while shingles are left whose pairs across components are many for their rows, a few pivots
+   of other orders each; then all pairs that lie in different components.
+5. Pairs may grow with the square of a group. They are only ever listed, bounded and checked as
+   many at a time as there are classes, and what one part links is left out of the next:
+   the disk holds a multiple of the classes, however many pairs there are.
 
 Defined results: a null or wordless text has the empty set and is linked with its like; a text of
 fewer words than a shingle is one shingle; component_id is the smallest doc_id that is not null.
@@ -21,6 +25,7 @@ fewer words than a shingle is one shingle; component_id is the smallest doc_id t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +40,16 @@ SHINGLE = 5
 SIMILARITY = (4, 5)
 #: texts of the sample that orders the shingles, and how many of its frequent shingles come last
 SAMPLE = 8192
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
+#: one text in so many is in the sample at least, so that the order is as good for larger tables
+SHARE = 24
+#: pairs joined with their prefixes at a time: as many as classes, but at least so many; with whole sets, an eighth of them
+LEAST_PAIRS = 1 << 16
+#: places where pairs meet, repeats included, in a part of the last step: so many for each pair of the above
+MEETINGS = 64
+#: pivots a shingle gets at a time, and how often at most; only one with many more pairs for each of its rows
+PIVOTS = 4
+TURNS = 8
 
 
 def shingle_set(hashes: list[int]) -> np.ndarray:
@@ -99,7 +113,7 @@ def _sketches(size: int, similarity: tuple[int, int], often: np.ndarray, count:
 
 def _frequent(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of a sample, sorted, and their counts."""
-    share = max(1, source.count() // SAMPLE)
+    share = max(1, min(source.count() // SAMPLE, SHARE))
     some = source.where(F.pmod("tag", F.lit(share)) == 0).select("tag", "t").mapInArrow(_sets(size), "tag long, shingles array<long>")
     rows = some.select(F.explode("shingles").alias("h")).groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
     keys, count = np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["count"] for r in rows], dtype=np.int64)
@@ -107,10 +121,15 @@ def _frequent(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], count[order]
 
 
+def _parts(df: DataFrame, most: int, *by: str) -> list[DataFrame]:
+    """A saved table in parts of about `most` rows, by a hash of some columns."""
+    k = -(-df.count() // most)
+    return [df.where(F.pmod(F.xxhash64(*by), F.lit(k)) == i) for i in range(k)] if k > 1 else [df]
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The distinct pairs (a, b) that their prefixes allow to be similar enough."""
+    """The pairs (a, b) that their prefixes allow to be similar enough."""
     num, den = similarity
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     one, other = [classes.select(F.col("cid").alias(k), F.struct("n", "prefix", "rank", "end").alias(f"x{k}")) for k in ("a", "b")]
     met = pairs.join(one, "a").join(other, "b")
     n, m = F.col("xa.n"), F.col("xb.n")
@@ -120,24 +139,52 @@ def _bounded(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int])
     return met.where(most * (num + den) >= (n + m) * num).select("a", "b")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; the sets are made anew from the texts that the bound leaves."""
-    num, den = similarity
-    pairs = save(_bounded(pairs, classes, similarity), "candidates")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").select("cid", "tag")
-    need = save(need, "needed")
-    # rows of equal texts share a tag: one of them is enough, and the texts themselves aren't shuffled
+def _sets_of(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int) -> DataFrame:
+    """(cid, shingles) of the classes in pairs, made anew from the texts."""
+    need = save(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes, "cid").select("cid", "tag"), "needed")
+    # rows of equal texts share a tag: one of them is enough
     own = source.join(need, "tag", "left_semi").select("tag", "t").mapInArrow(_sets(size), "tag long, shingles array<long>")
     sets = save(own.groupBy("tag").agg(F.any_value("shingles").alias("shingles")).join(need, "tag").select("cid", "shingles"), "sets")
-    one, other = [sets.select(F.col("cid").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b")]
-    met = pairs.join(one, "a").join(other, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    # common / (n + m - common) >= num / den
-    links = save(met.where(F.col("common") * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b"), "links")
-    for done in (pairs, need, sets):
-        drop(done)
+    drop(need)
+    return sets
+
+
+def _checked(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int, similarity: tuple[int, int], most: int) -> list[DataFrame]:
+    """The pairs (a, b) whose sets are similar enough; about `most` are joined with their sets at a time."""
+    num, den = similarity
+    # many pairs of few classes share one table of sets; else each part has its own, of two classes a pair at most
+    shared = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().count() <= 2 * most
+    sets, links = _sets_of(pairs, classes, source, size) if shared else None, []
+    for part in _parts(pairs, most, "a", "b"):
+        of = sets if shared else _sets_of(part, classes, source, size)
+        one, other = [of.select(F.col("cid").alias(k), F.col("shingles").alias(f"s{k}")) for k in ("a", "b")]
+        met = part.join(one, "a").join(other, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+        # common / (n + m - common) >= num / den
+        links.append(save(met.where(F.col("common") * (num + den) >= (F.size("sa") + F.size("sb")) * num).select("a", "b"), "links"))
+        if not shared:
+            drop(of)
+    if shared:
+        drop(sets)
     return links
 
 
+def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, size: int, similarity: tuple[int, int], most: int) -> DataFrame:
+    """The distinct pairs (a, b) that are similar enough; about `most` are joined with prefixes at a time, and an eighth of that with sets."""
+    pairs = save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    links = []
+    for part in _parts(pairs, most, "a", "b"):
+        near = save(_bounded(part, classes, similarity), "candidates")
+        links += _checked(near, classes, source, size, similarity, max(1, most // 8))
+        drop(near)
+    drop(pairs)
+    if len(links) == 1:
+        return links[0]
+    whole = save(reduce(DataFrame.union, links), "links")
+    for done in links:
+        drop(done)
+    return whole
+
+
 def _possible(similarity: tuple[int, int]):
     """Whether (n, pos) and (m, place) of a common shingle leave room for enough common ones, were it the first."""
     num, den = similarity
@@ -146,6 +193,23 @@ def _possible(similarity: tuple[int, int]):
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (most * (num + den) >= (n + m) * num)
 
 
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows whose shingle is found in several components, with their component, the number of the shingle's rows and of its pairs across components."""
+    placed = rows.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
+    own = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"))
+    across = own.groupBy("h").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("within"))
+    across = across.select("h", "rows", ((F.col("rows") * F.col("rows") - F.col("within")) / 2).alias("pairs")).where("pairs > 0")
+    return save(placed.join(across, "h"), "open")
+
+
+def _pivots(rows: DataFrame, turn: int, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of each class with the shingle's classes that come first in some orders, where the components differ."""
+    first = [F.min(F.struct(F.xxhash64("cid", F.lit(turn * PIVOTS + i)).alias("by"), "cid", "n", "pos", "root")) for i in range(PIVOTS)]
+    pivot = rows.groupBy("h").agg(F.array(*first).alias("p")).select("h", F.explode("p").alias("p"))
+    pivot = pivot.select("h", F.col("p.cid").alias("b"), F.col("p.n").alias("m"), F.col("p.pos").alias("place"), F.col("p.root").alias("r"))
+    return rows.join(pivot, "h").where((F.col("root") != F.col("r")) & _possible(similarity)).select(F.col("cid").alias("a"), "b")
+
+
 def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(doc_id, fp, tag, component_id) of every row of docs, as simhash_anchors.near_duplicates has it; fp names the component."""
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"), F.xxhash64(text).alias("tag"))
@@ -163,18 +227,34 @@ def similar_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     early = early.union(classes.join(pick, "fp").select(F.col("cid").alias("a"), F.col("first").alias("b")))
     pivot = rows.groupBy("h").agg(F.min(F.struct("cid", "n", "pos")).alias("p")).select("h", F.col("p.cid").alias("b"), F.col("p.n").alias("m"), F.col("p.pos").alias("place"))
     star = rows.join(pivot, "h").where(_possible(similarity)).select(F.col("cid").alias("a"), "b")
-    links = _verified(early.union(star), classes, source, shingle, similarity)
+    most = max(LEAST_PAIRS, classes.count())
+    links = _verified(early.union(star), classes, source, shingle, similarity, most)
 
     roots = components(links, "similar")
-    placed = rows.join(roots, F.col("cid") == F.col("node"), "left").select("h", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
-    # tokens whose classes are all in one component have no pair left
-    open_ = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    placed = save(placed.join(open_, "h"), "open")
-    other = placed.select("h", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("root").alias("r"))
-    rest = placed.join(other, "h").where((F.col("root") != F.col("r")) & (F.col("cid") < F.col("b")) & _possible(similarity))
-    more = _verified(rest.select(F.col("cid").alias("a"), "b"), classes, source, shingle, similarity)
-
-    roots = components(links.union(more), "similar")
+    placed, before = _open(rows, roots), None
+    meetings = F.coalesce(F.sum(F.col("pairs") / F.col("rows")), F.lit(0.0))
+    for turn in range(TURNS):
+        dense = placed.where(F.col("pairs") > 4 * PIVOTS * F.col("rows"))
+        now = dense.agg(meetings).first()[0]
+        # where texts only share passages, pivots link nothing
+        if not now or before is not None and 4 * now > 3 * before:
+            break
+        links = links.union(_verified(_pivots(dense, turn, similarity), classes, source, shingle, similarity, most))
+        roots, done, before = components(links, "similar"), placed, now
+        placed = _open(rows, roots)
+        drop(done)
+    parts = max(1, int(-(-placed.agg(meetings).first()[0] // (MEETINGS * most))))
+    for i in range(parts):
+        if i:
+            done, placed = placed, _open(rows, roots)
+            drop(done)
+        other = placed.select("h", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("root").alias("r"))
+        own = placed.where(F.pmod(F.xxhash64("cid"), F.lit(parts)) == i)
+        rest = own.join(other, "h").where((F.col("root") != F.col("r")) & (F.col("cid") < F.col("b")) & _possible(similarity))
+        links = links.union(_verified(rest.select(F.col("cid").alias("a"), "b"), classes, source, shingle, similarity, most))
+        roots = components(links, "similar")
+    drop(placed)
+
     label = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     least = label.groupBy("root").agg(F.min("least").alias("component_id"))
     label = label.join(least, "root").select("cid", "root", "component_id")

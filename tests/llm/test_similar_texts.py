@@ -66,6 +66,27 @@ def test_dense_group_that_fingerprints_do_not_link(spark):
     check(spark, texts)
 
 
+def test_pairs_of_a_dense_group_never_lie_on_disk_at_once(spark, monkeypatch):
+    rng = random.Random(6)
+    base, texts = [f"w{i}" for i in range(200)], {}
+    for d in range(90):  # two edits each would link them; those with more have few links, but must be checked with all others
+        w = list(base)
+        for i in rng.sample(range(200), 2 if d < 6 else rng.choice((3, 4))):
+            w[i] = f"x{rng.randrange(10**6)}"
+        texts[d] = " ".join(w)
+    joined, bounded = [], st._bounded
+
+    def counted(pairs, *more):
+        joined.append(pairs.distinct().count())
+        return bounded(pairs, *more)
+
+    monkeypatch.setattr(st, "LEAST_PAIRS", 500, raising=False)
+    monkeypatch.setattr(st, "_bounded", counted)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in st.similar_texts(df).collect()} == slow_components(texts)
+    assert max(joined) <= 700, joined
+
+
 def test_small_tables(spark, documents):
     want = check(spark, {d: t for d, t, _ in documents})
     assert want[145] == 6 and want[177] == 1  # 7 and 11 of 64 bits apart
