@@ -1,0 +1,24 @@
+"""Steps whose memory or time once outgrew the input: plans and kernels as they must stay."""
+
+from quadloom.operators import shapes
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_multipolygons_broadcast_nothing(spark):
+    square = [(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)]
+    members = spark.createDataFrame([(1, 2, "outer"), (1, 1, "outer"), (1, 3, "inner"), (2, 4, None)], "relation_id long, way_id long, role string")
+    lines = spark.createDataFrame([(1, square[:3]), (2, square[2:]), (3, [(1, 1), (3, 1), (3, 3), (1, 1)]), (4, square)], "way_id long, points array<struct<x:bigint,y:bigint>>")
+    made = shapes.multipolygons(members, lines)
+    assert "Broadcast" not in plan(made)
+    got = {r["relation_id"]: (r["n_parts"], [[len(ring) for ring in p] for p in r["parts"]]) for r in made.collect()}
+    assert got == {1: (1, [[5, 4]]), 2: (0, [])}
+
+
+def test_nested_and_packed_are_inverse():
+    rows = [[[[(1, 2), (3, 4)], [(5, 6)]], []], [], [[[(7, 8)]]]]
+    a = shapes.packed(rows, 3)
+    assert shapes.nested(a) == rows and shapes.nested(a.slice(1)) == rows[1:]
+    assert shapes.nested(shapes.packed([], 3)) == [] and shapes.nested(shapes.packed([[]], 3)) == [[]]
