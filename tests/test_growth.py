@@ -1,6 +1,7 @@
 """Steps whose memory or time once outgrew the input: plans and kernels as they must stay."""
 
 from quadloom.operators import shapes
+from quadloom.plans import render
 
 
 def plan(df):
@@ -22,3 +23,12 @@ def test_nested_and_packed_are_inverse():
     a = shapes.packed(rows, 3)
     assert shapes.nested(a) == rows and shapes.nested(a.slice(1)) == rows[1:]
     assert shapes.nested(shapes.packed([], 3)) == [] and shapes.nested(shapes.packed([[]], 3)) == [[]]
+
+
+def test_prepared_squares_lie_in_the_world(spark):
+    rows = [(1, 10, 0, 5, "[[[(5, 5)]]]"), (2, 1024, 3, 0, ""), (3, 3, -1, 0, "")]
+    store = spark.createDataFrame([(i, "road", z, 21, 1, (cx << 22) + 5, (cy << 22) + 5, cx, cy) for i, cx, cy, z, _ in rows], "id long, layer string, min_z int, max_z int, geom_type int, px long, py long, cell_x long, cell_y long")
+    store = store.selectExpr("*", "array(array(array(struct(px as x, py as y)))) as parts", "px as min_x", "py as min_y", "px as max_x", "py as max_y")
+    none = spark.createDataFrame([], "key string, value struct<vtype:tinyint,s:string,d:double,i:bigint>")
+    store = store.crossJoin(none.selectExpr("collect_list(struct(key, value)) as meta")).drop("px", "py")
+    assert sorted((r["z"], r["x"], r["y"]) for r in render.prepare_tiles(store).collect()) == [(z, 10 >> (10 - z), 0) for z in range(5, 11)]
