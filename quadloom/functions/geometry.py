@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,15 +15,20 @@ def xy(x: Column, y: Column) -> Column:
     return F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: lambdas that name an expression compute it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def consecutive_dedup(points: Column) -> Column:
     """points without those equal to the one right before."""
-    return F.filter(points, lambda p, i: (i == 0) | (F.get(points, i - 1) != p))
+    return let(points, lambda ps: F.filter(ps, lambda p, i: (i == 0) | (F.get(ps, i - 1) != p)))
 
 
 def quantize(points: Column, z: Column) -> Column:
     """Pixels at zoom z; neighbours that fall together are one."""
     moved = F.transform(points, lambda p: xy(shr(p["x"], MAX_ZOOM - z), shr(p["y"], MAX_ZOOM - z)))
-    return F.transform(F.array(moved), consecutive_dedup)[0]
+    return consecutive_dedup(moved)
 
 
 def quantize_line(points: Column, z: Column) -> Column:
@@ -57,7 +64,7 @@ def box_ring(min_x: Column, min_y: Column, max_x: Column, max_y: Column) -> Colu
 
 def close_ring(points: Column) -> Column:
     """The ring with its first point at its end too."""
-    return F.when((F.size(points) > 0) & (F.element_at(points, 1) != F.element_at(points, -1)), F.concat(points, F.slice(points, 1, 1))).otherwise(points)
+    return let(points, lambda p: F.when((F.size(p) > 0) & (F.element_at(p, 1) != F.element_at(p, -1)), F.concat(p, F.slice(p, 1, 1))).otherwise(p))
 
 
 def ring_ok(points: Column, least: int = 4) -> Column:
@@ -66,9 +73,12 @@ def ring_ok(points: Column, least: int = 4) -> Column:
 
 def doubled_area(points: Column) -> Column:
     """Twice the signed area of a closed ring, relative to its first point so that products stay small."""
-    o = F.element_at(points, 1)
-    terms = F.zip_with(points, F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda p, q: F.coalesce((p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"]), F.lit(0).cast("long")))
-    return F.aggregate(terms, F.lit(0).cast("long"), lambda a, t: a + t)
+
+    def terms(ps: Column) -> Column:
+        o = F.element_at(ps, 1)
+        return F.zip_with(ps, F.slice(ps, 2, F.greatest(F.size(ps) - 1, F.lit(0))), lambda p, q: F.coalesce((p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"]), F.lit(0).cast("long")))
+
+    return F.aggregate(let(points, terms), F.lit(0).cast("long"), lambda a, t: a + t)
 
 
 def ring_area(points: Column) -> Column:
@@ -77,8 +87,11 @@ def ring_area(points: Column) -> Column:
 
 
 def bounding_box(points: Column) -> Column:
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
+    def box(ps: Column) -> Column:
+        xs, ys = F.transform(ps, lambda p: p["x"]), F.transform(ps, lambda p: p["y"])
+        return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
+
+    return let(points, box)
 
 
 def deltas(values: Column, origin: Column | int = 0) -> Column:

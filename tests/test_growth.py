@@ -1,5 +1,8 @@
 """Steps whose memory or time once outgrew the input: plans and kernels as they must stay."""
 
+from pyspark.sql import functions as F
+
+from quadloom.functions import geometry as geo
 from quadloom.operators import shapes
 from quadloom.plans import render
 
@@ -32,3 +35,9 @@ def test_prepared_squares_lie_in_the_world(spark):
     none = spark.createDataFrame([], "key string, value struct<vtype:tinyint,s:string,d:double,i:bigint>")
     store = store.crossJoin(none.selectExpr("collect_list(struct(key, value)) as meta")).drop("px", "py")
     assert sorted((r["z"], r["x"], r["y"]) for r in render.prepare_tiles(store).collect()) == [(z, 10 >> (10 - z), 0) for z in range(5, 11)]
+
+
+def test_nested_geometry_expressions_compute_their_points_once(spark):
+    x = F.col("id")
+    area = geo.ring_area(geo.close_ring(geo.quantize(geo.box_ring(x, x, x + 5000, x + 9000), F.lit(10))))
+    assert str(spark.range(3).select(area)._jdf.queryExecution().optimizedPlan()).count("shiftright") == 3  # x, y and the half
