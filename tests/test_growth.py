@@ -1,5 +1,7 @@
 """Steps whose memory or time once outgrew the input: plans and kernels as they must stay."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from quadloom.functions import geometry as geo
@@ -41,3 +43,24 @@ def test_nested_geometry_expressions_compute_their_points_once(spark):
     x = F.col("id")
     area = geo.ring_area(geo.close_ring(geo.quantize(geo.box_ring(x, x, x + 5000, x + 9000), F.lit(10))))
     assert str(spark.range(3).select(area)._jdf.queryExecution().optimizedPlan()).count("shiftright") == 3  # x, y and the half
+
+
+def test_rectangles_are_cut_as_by_the_kernels(spark):
+    rng = random.Random(5)
+    box, rows = (0, 0, 9000, 7000), []
+    for i in range(300):
+        x0, y0, x1, y1 = (rng.choice((-4000, 0, 1000, 1500, 7000, 9000, 12000)) + rng.randint(0, 1) * rng.randint(0, 2000) for _ in range(4))
+        ring = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)] if rng.random() < 0.5 else [(x0, y0), (x0, y1), (x1, y1), (x1, y0)]
+        ring = ring[i % 4 :] + ring[: i % 4]
+        rows.append((i, rng.choice(("water", "coastline")), 3, rng.randint(10, 20), *box, [[[*ring, ring[0]] if rng.random() < 0.7 else ring]]))
+    df = spark.createDataFrame(rows, f"id long, layer string, geom_type int, z long, draw_min_x long, draw_min_y long, draw_max_x long, draw_max_y long, parts {shapes.PARTS}")
+    for drop in (False, True):
+        want = {}
+        for i, layer, kind, z, *_, parts in rows:
+            made = shapes.shift(kind, shapes.clip(kind, parts, box), z)
+            if made and not (drop and layer != "coastline" and shapes.area(made) < 256):
+                want[i] = made
+        got = {r["id"]: [[[tuple(p) for p in ring] for ring in part] for part in r["parts"]] for r in shapes.clip_and_shift(df, drop).collect()}
+        assert got == want and 0 < len(got) < 300
+    shaped = df.where(shapes.is_rectangle(F.col("parts")))
+    assert shaped.count() > 150
