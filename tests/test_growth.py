@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quadloom.functions import geometry as geo
-from quadloom.operators import shapes
+from quadloom.operators import kernels, shapes
 from quadloom.plans import render
 
 
@@ -64,3 +65,21 @@ def test_rectangles_are_cut_as_by_the_kernels(spark):
         assert got == want and 0 < len(got) < 300
     shaped = df.where(shapes.is_rectangle(F.col("parts")))
     assert shaped.count() > 150
+
+
+def test_all_lines_at_once_keep_what_each_keeps():
+    rng = random.Random(3)
+    lines = [[(rng.randint(0, 1 << e), rng.randint(0, 1 << e)) for _ in range(rng.randint(0, 40))] for e in [1, 3, 8, 14, 25, 28, 32] * 30]
+    lines += [[(0, 0), (5, 5), (0, 0)], [(1, 1)] * 4, [(0, 0), (2, 0), (4, 0), (6, 1)]]
+    flat = np.array([p for line in lines for p in line], dtype=np.int64)
+    at = np.cumsum([0, *map(len, lines)])
+    got = kernels.keep_zooms_of_all(flat[:, 0], flat[:, 1], at).tolist()
+    for line, a, b in zip(lines, at, at[1:]):
+        assert got[a:b] == (kernels.keep_zooms(line) if line else []), line
+
+
+def test_keep_zooms_makes_no_object_per_point(spark):
+    lines = spark.createDataFrame([(1, [(0, 0), (50, 1), (100, 0), (100, 100)]), (2, [])], "id long, points array<struct<x:bigint,y:bigint>>")
+    kept = lines.select("id", shapes.keep_zooms(F.col("points")).alias("keep"))
+    assert {r["id"]: r["keep"] for r in kept.collect()} == {1: kernels.keep_zooms([(0, 0), (50, 1), (100, 0), (100, 100)]), 2: []}
+    assert "SQL_SCALAR_ARROW_UDF" in plan(kept) or "ArrowEvalPython" in plan(kept)
