@@ -52,7 +52,7 @@ def run_scan_osm(spark, sf):
     w = fx.way_nodes(spark, sf).groupBy("way_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ref"))), lambda p: p["ref"]).alias("refs"))
     w = w.select(F.lit("way"), c("way_id") + 100000000, none[0], none[1], F.create_map(F.lit("highway"), F.lit("trunk")), "refs")
     folder = shared_folder(spark, "extract")
-    write_parts(n.union(w), folder, ".osm.pbf", lambda path, rows: osm_pbf.write(path, [(*r[:4], dict(r[4]), r[5], None) for r in rows]))
+    write_parts(n.union(w), folder, ".osm.pbf", lambda path, rows: osm_pbf.write(path, ((*r[:4], dict(r[4]), r[5], None) for r in rows)))
     spark.dataSource.register(osm_pbf.OsmPbfSource)
     scan = spark.read.format("osm_pbf").option("path", folder).load()
     e7 = lambda k: F.round(c(k) * 1e7).cast("long").alias(f"{k}_e7")
@@ -65,7 +65,7 @@ def run_scan_shp(spark, sf):
     x0, y0, x1, y1 = ((c(k) - o) / 1e7 for k, o in (("min_x", fx.X0), ("min_y", fx.Y0), ("max_x", fx.X0), ("max_y", fx.Y0)))
     folder = shared_folder(spark, "extract")
     rows = fx.rects(spark, sf).select(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
-    write_parts(rows, folder, ".zip", lambda path, held: shapefile.write(path, [[[(a, b), (a, d), (e, d), (e, b), (a, b)]] for a, b, e, d in held]))
+    write_parts(rows, folder, ".zip", lambda path, held: shapefile.write(path, ([[(a, b), (a, d), (e, d), (e, b), (a, b)]] for a, b, e, d in held)), part_rows=20_000)
     ring = shapefile.read(spark, f"{folder}/*.zip").select("rings", F.transform(c("rings")[0], lambda p: F.struct(F.round(p["lng"] * 1e7).cast("long").alias("x"), F.round(p["lat"] * 1e7).cast("long").alias("y"))).alias("p"))
     ends = [f(F.transform("p", lambda q: q[k])).alias(n) for n, f, k in (("min_x", F.array_min, "x"), ("min_y", F.array_min, "y"), ("max_x", F.array_max, "x"), ("max_y", F.array_max, "y"))]  # noqa: B023
     return ring.select(*ends, F.size("rings").alias("n_rings"), F.size("p").alias("n_points"))

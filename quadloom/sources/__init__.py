@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +25,21 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
-def write_parts(rows: DataFrame, folder: str, suffix: str, write: Callable[[str, list], None]) -> int:
-    """One file of `folder` for each partition of rows, written by its task; the number of files."""
+#: Rows of a part at most: what a reader must hold of a format that is read whole.
+PART_ROWS = 200_000
+
+
+def write_parts(rows: DataFrame, folder: str, suffix: str, write: Callable[[str, Iterator[tuple]], None], part_rows: int = PART_ROWS) -> int:
+    """Files of `folder`, written by the tasks, one or more for each partition of rows; the number of files.
+
+    write takes the rows of a file as they come: no task holds more than a few hundred of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [tuple(r.values()) for b in batches for r in b.to_pylist()]
-        if held:
+        rest = (tuple(r.values()) for b in batches for lo in range(0, b.num_rows, 512) for r in b.slice(lo, 512).to_pylist())
+        for head in rest:
             name = f"{folder}/{uuid.uuid4().hex}"
-            write(name, held)
+            write(name, chain([head], islice(rest, part_rows - 1)))
             os.replace(name, name + suffix)  # a lost task leaves no half-written part
             yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
 

@@ -1,6 +1,7 @@
 """Steps whose memory or time once outgrew the input: plans and kernels as they must stay."""
 
 import random
+import zipfile
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from quadloom.functions import geometry as geo
 from quadloom.operators import kernels, shapes
 from quadloom.plans import render
+from quadloom import sources
+from quadloom.sources import osm_pbf, shapefile
 
 
 def plan(df):
@@ -83,3 +86,39 @@ def test_keep_zooms_makes_no_object_per_point(spark):
     kept = lines.select("id", shapes.keep_zooms(F.col("points")).alias("keep"))
     assert {r["id"]: r["keep"] for r in kept.collect()} == {1: kernels.keep_zooms([(0, 0), (50, 1), (100, 0), (100, 100)]), 2: []}
     assert "SQL_SCALAR_ARROW_UDF" in plan(kept) or "ArrowEvalPython" in plan(kept)
+
+
+def test_parts_are_bounded_and_written_as_rows_come(spark, tmp_path):
+    folder, size = str(tmp_path / "parts"), []
+    (tmp_path / "parts").mkdir()
+
+    def write(path, rows):
+        assert iter(rows) is rows
+        with open(path, "w") as f:
+            f.writelines(f"{i}\n" for (i,) in rows)
+
+    assert sources.write_parts(spark.range(0, 1000, 1, 2), folder, ".txt", write, part_rows=300) == 4
+    for p in (tmp_path / "parts").glob("*.txt"):
+        size += [int(v) for v in p.read_text().split()]
+    assert sorted(size) == list(range(1000))
+
+
+def test_a_file_of_nodes_is_made_block_by_block(tmp_path):
+    alive = 0
+
+    def rows():
+        for i in range(5000):
+            if i == 2500:
+                nonlocal alive
+                alive = (tmp_path / "n.pbf").stat().st_size
+            yield "node", i, 1.0, 2.0, {}, None, None
+
+    osm_pbf.write(str(tmp_path / "n.pbf"), rows(), per_block=10)
+    assert alive > 0 and sum(1 for kind, _, _ in osm_pbf.blob_headers(str(tmp_path / "n.pbf")) if kind == "OSMData") == 500
+
+
+def test_a_shapefile_takes_time_in_proportion(tmp_path):
+    ring = [[(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (0.0, 0.0)]]
+    shapefile.write(str(tmp_path / "a.zip"), (ring for _ in range(100_000)))  # minutes when bytes were added up
+    with zipfile.ZipFile(tmp_path / "a.zip") as z, z.open("land.shp") as f:
+        assert sum(1 for _ in shapefile.shapes(f)) == 100_000
