@@ -2,12 +2,15 @@
 
 import random
 import zipfile
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from quadloom.functions import geometry as geo
-from quadloom.operators import kernels, shapes
+from pyspark.util import PythonEvalType
+
+from quadloom.operators import coast, kernels, mvt, shapes
 from quadloom.plans import render
 from quadloom import sources
 from quadloom.sources import osm_pbf, shapefile
@@ -122,3 +125,23 @@ def test_a_shapefile_takes_time_in_proportion(tmp_path):
     shapefile.write(str(tmp_path / "a.zip"), (ring for _ in range(100_000)))  # minutes when bytes were added up
     with zipfile.ZipFile(tmp_path / "a.zip") as z, z.open("land.shp") as f:
         assert sum(1 for _ in shapefile.shapes(f)) == 100_000
+
+
+def test_land_is_counted_by_tile_before_it_meets_the_squares(spark):
+    land = spark.range(1000).selectExpr("id * 1000 as min_x", "id * 1000 as min_y", "id * 1000 + 500 as max_x", "id * 1000 + 500 as max_y")
+    roots = spark.createDataFrame([(9, x, 0) for x in range(3)], "z long, x long, y long")
+    made = coast.descend(land, roots, 10)
+    assert "BroadcastHashJoin" not in plan(made)
+    assert {(r["z"], r["x"], r["y"]): r["kind"] for r in made.collect()} == {(9, 1, 0): "sea", (9, 2, 0): "sea", (10, 0, 0): "coast", (10, 1, 0): "sea", (10, 0, 1): "sea", (10, 1, 1): "sea"}
+
+
+def test_bytes_are_compressed_from_the_batch(spark):
+    df = spark.createDataFrame([(b"a" * 500,), (None,), (b"",)], "b binary").select("b", shapes.deflate(F.col("b")).alias("d"))
+    assert [None if r["d"] is None else zlib.decompress(r["d"]) for r in df.collect()] == [b"a" * 500, None, b""]
+    assert "SQL_SCALAR_ARROW_UDF" in plan(df) or shapes.deflate.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
+def test_a_layer_of_many_features_takes_time_in_proportion():
+    spot = {"geom_type": 1, "parts": [[[(3, 4)]]], "meta": []}
+    data = mvt.encode_layer("l", [{"id": i, **spot} for i in range(200_000)], (0, 0))  # minutes when bytes were added up
+    assert len(data) > 200_000 * 10
