@@ -145,3 +145,11 @@ def test_a_layer_of_many_features_takes_time_in_proportion():
     spot = {"geom_type": 1, "parts": [[[(3, 4)]]], "meta": []}
     data = mvt.encode_layer("l", [{"id": i, **spot} for i in range(200_000)], (0, 0))  # minutes when bytes were added up
     assert len(data) > 200_000 * 10
+
+
+def test_sea_squares_broadcast_no_land(spark):
+    land = spark.createDataFrame([(0, 0, 9, 9, [[[(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)]]])], f"min_x long, min_y long, max_x long, max_y long, parts {shapes.PARTS}")
+    asked = spark.createDataFrame([(10, 0, 0)], "z long, x long, y long")
+    made = coast.sea_polygons(asked, land)
+    assert plan(made).count("SortMergeJoin") == 1
+    assert made.first()["area"] == ((1 << 22) + 8192) ** 2 - 81
